@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, quality
+from . import decontam, lines, mixing, quality, simhash, warc
 from .common import table
 
 #: Fixed value: words for DuckDB.
@@ -76,5 +76,27 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (key IN (SELECT key
 FROM lines GROUP BY doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op5_decontaminate, op6_line_dedup)}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op6_line_dedup": OP6_SQL}
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rows = warc.read(warc.write(pages))
+    kind = pages.schema["page_id"].dataType
+    return rows.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest)
+"""
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.clustered(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("ident").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op5_decontaminate, op6_line_dedup, op7_warc, op9_simhash)}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_warc": OP7_SQL}
