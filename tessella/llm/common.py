@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,12 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not at the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit, else as it is for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, quality, simhash, warc
+from . import decontam, lines, mixing, quality, simhash, substring, warc
 from .common import table
 
 #: Fixed value: words for DuckDB.
@@ -98,5 +98,26 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("ident").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op5_decontaminate, op6_line_dedup, op7_warc, op9_simhash)}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_warc": OP7_SQL}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.deduped(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.select(F.col("ident").alias("doc_id"), "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = rf"""
+WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{SQL_WORD}'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
+found AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM found),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+kept AS (
+  SELECT e.doc_id, count(g.i)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.i) FILTER (g.i IS NULL), '') AS kept
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_warc, op9_simhash)}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_warc": OP7_SQL}
