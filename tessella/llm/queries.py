@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, quality, simhash, substring, warc
+from . import decontam, lines, mixing, quality, simhash, store, substring, warc
 from .common import table
 
 #: Fixed value: words for DuckDB.
@@ -119,5 +119,12 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_warc, op9_simhash)}
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    written = store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return store.read(spark, written).withColumnRenamed("ident", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_warc, op9_simhash, op10_token_store)}
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_warc": OP7_SQL}
