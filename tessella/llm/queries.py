@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, quality, simhash, store, substring, warc
+from . import chat, decontam, lines, mixing, quality, simhash, store, substring, warc
 from .common import table
 
 #: Fixed value: words for DuckDB.
@@ -93,6 +93,48 @@ FROM p LEFT JOIN k USING (payload_digest)
 """
 
 
+def op8_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.preferences(chat.with_other_reply(chat.conversations(table(spark, sf_dir, "conversations"))))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    out = [F.col("conv").alias("conv_id"), F.col("prompt_turns").cast("bigint").alias("prompt_turns"), F.sha2("prompt", 256).alias("prompt_sha256")]
+    for side in ("chosen", "rejected"):
+        out += [F.length(f"{side}_text").cast("bigint").alias(f"{side}_chars"), F.sha2(f"{side}_text", 256).alias(f"{side}_sha256"), spans(f"{side}_mask").alias(f"{side}_mask")]
+    return rows.select(*out)
+
+
+OP8_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS size FROM t),
+other AS (SELECT xor(conv_id, 1) AS conv_id, role, text FROM n WHERE i = size),
+sides AS (
+  SELECT 'chosen' AS side, conv_id, i, role, text FROM n
+  UNION ALL SELECT 'rejected', conv_id, i, role, text FROM n WHERE i < size
+  UNION ALL SELECT 'rejected', conv_id, size, o.role, o.text FROM (SELECT DISTINCT conv_id, size FROM n) JOIN other o USING (conv_id)),
+differs AS (
+  SELECT conv_id, min(i) AS first FROM (
+    SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.i, b.i) AS i,
+           a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same
+    FROM (FROM sides WHERE side = 'chosen') a FULL JOIN (FROM sides WHERE side = 'rejected') b ON a.conv_id = b.conv_id AND a.i = b.i)
+  WHERE NOT same GROUP BY conv_id),
+cut AS (
+  SELECT s.*, coalesce(first, 1000000) AS first, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown
+  FROM sides s LEFT JOIN differs USING (conv_id)),
+placed AS (
+  SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY side, conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM cut WHERE i >= first),
+done AS (
+  SELECT side, conv_id, sum(length(shown))::BIGINT AS chars, sha256(string_agg(shown, '' ORDER BY i)) AS sha,
+         string_agg((begins + 13 + length(role)) || '-' || (begins + length(shown)), ',' ORDER BY i) FILTER (role = 'assistant') AS mask
+  FROM placed GROUP BY side, conv_id),
+prompts AS (
+  SELECT conv_id, count(*) FILTER (i < first)::BIGINT AS prompt_turns, sha256(coalesce(string_agg(shown, '' ORDER BY i) FILTER (i < first), '')) AS prompt_sha256
+  FROM cut WHERE side = 'chosen' GROUP BY conv_id)
+SELECT p.conv_id, prompt_turns, prompt_sha256,
+       coalesce(c.chars, 0) AS chosen_chars, coalesce(c.sha, sha256('')) AS chosen_sha256, coalesce(c.mask, '') AS chosen_mask,
+       coalesce(r.chars, 0) AS rejected_chars, coalesce(r.sha, sha256('')) AS rejected_sha256, coalesce(r.mask, '') AS rejected_mask
+FROM prompts p LEFT JOIN (FROM done WHERE side = 'chosen') c USING (conv_id) LEFT JOIN (FROM done WHERE side = 'rejected') r USING (conv_id)
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.clustered(table(spark, sf_dir, "documents"))
     return rows.select(F.col("ident").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -126,5 +168,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, written).withColumnRenamed("ident", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_warc, op9_simhash, op10_token_store)}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_warc": OP7_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_warc, op8_chat_preferences, op9_simhash, op10_token_store)}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_chat_preferences": OP8_SQL}
