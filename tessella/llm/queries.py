@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, mixing, quality, simhash, store, substring, warc
+from . import chat, decontam, lines, lm, mixing, quality, simhash, store, substring, warc
 from .common import table
 
 #: Fixed value: words for DuckDB.
@@ -140,6 +140,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("ident").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents")).withColumnRenamed("ident", "doc_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.deduped(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -168,5 +172,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, written).withColumnRenamed("ident", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_warc, op8_chat_preferences, op9_simhash, op10_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_lm_scores, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_warc, op8_chat_preferences, op9_simhash, op10_token_store)}
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_chat_preferences": OP8_SQL}
