@@ -1,14 +1,10 @@
-"""From raw documents to token files in five stages, each an operator of tessella.llm.
-
-The stages are added in this order: quality rules, SimHash near-dedup, benchmark decontamination, mixing
-sources to target weights, token-ID output.
-"""
+"""From raw documents to token files in five stages, each an operator of tessella.llm."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, mixing, quality
+from tessella.llm import decontam, mixing, quality, simhash, store
 from tessella.llm.common import new_dir, table
 
 
@@ -17,6 +13,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: SimHash over five-word shingles, 4 of 64 bits."""
+    return simhash.first_documents(docs, width=5, r=4)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no window of a benchmark item."""
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -27,9 +28,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("decontaminate", decontaminate), ("mix_sources", mix_sources)]
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in a content-addressed store; the rows are read back from it."""
+    import public_tokenizers
+
+    written = store.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return store.read(spark, written).withColumnRenamed("ident", "doc_id")
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("token_output", token_output)]
 
-#: SQL cannot express all stages; tests/llm holds them against brute force.
+#: SQL cannot express XXH64 fingerprints and byte-level BPE; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
