@@ -204,11 +204,11 @@ def cross_score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.s_norm_cross(*cohort(spark, sf_dir), top=20).select("enroll", "test", "target", F.round("score", 5).alias("score"))
 
 
-@query(SQL_SCORES + "SELECT enroll, test, round(0.3::DOUBLE * a + 0.7::DOUBLE * score, 10) AS score FROM (SELECT s.enroll, s.test, s.score, coalesce(o.score * o.score, 0) AS a FROM scores s LEFT JOIN (SELECT * FROM scores WHERE test % 3 = 0) o USING (enroll, test))")
+@query(SQL_SCORES + "SELECT enroll, test, round(0.3::DOUBLE * a + 0.7::DOUBLE * score, 8) AS score FROM (SELECT s.enroll, s.test, s.score, coalesce(round(o.score * o.score, 6), 0) AS a FROM scores s LEFT JOIN (SELECT * FROM scores WHERE test % 3 = 0) o USING (enroll, test))")
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores(spark, sf_dir)
-    first = rows.where("test % 3 = 0").withColumn("score", F.col("score") * F.col("score"))
-    return trials.weighted_scores(first, rows, ["enroll", "test"], 0.3, 0.7).withColumn("score", F.round("score", 10))
+    first = rows.where("test % 3 = 0").withColumn("score", F.round(F.col("score") * F.col("score"), 6))
+    return trials.weighted_scores(first, rows, ["enroll", "test"], 0.3, 0.7).withColumn("score", F.round("score", 8))
 
 
 @query(SQL_SCORES + """,
