@@ -108,7 +108,7 @@ def histogram_difference(rows: DataFrame, by: str, value: str, count: str, kind:
 def normalised(rows: DataFrame, group: str, value: str, by: str = "sum") -> DataFrame:
     """A value over its group's sum or maximum."""
     w = Window.partitionBy(group)
-    return rows.withColumn("share", F.col(value) / (F.sum(value) if by == "sum" else F.max(value)).over(w))
+    return rows.withColumn("share", F.try_divide(F.col(value), (F.sum(value) if by == "sum" else F.max(value)).over(w)))
 
 
 def class_counts(rows: DataFrame, label: str, n: int) -> DataFrame:

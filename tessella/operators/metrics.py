@@ -50,7 +50,7 @@ def eer(trials: DataFrame, score: str = "score", target: str = "target") -> Data
 def min_dcf(trials: DataFrame, p_target: float = 0.01, c_miss: float = 1.0, c_fa: float = 1.0, score: str = "score", target: str = "target") -> DataFrame:
     """Minimum detection cost over all rows in the order of score (nontargets first on ties), normalised by the better trivial system (M1)."""
     points = sweep(trials, score, target)
-    cost = lambda fr, fa: c_miss * p_target * fr / F.col("p_all") + c_fa * (1 - p_target) * fa / F.col("n_all")
+    cost = lambda fr, fa: F.try_divide(c_miss * p_target * fr, F.col("p_all")) + F.try_divide(c_fa * (1 - p_target) * fa, F.col("n_all"))
     fa0, fr0 = F.col("n_all") - (F.col("n_upto") - F.col("n")), F.col("p_upto") - F.col("p")
     # The cost falls with each nontarget and rises with each target: its least is after the nontargets of a score, or, if it has only targets, after the first of them.
     after = F.when(F.col("n") > 0, cost(fr0, fa0 - F.col("n"))).otherwise(cost(fr0 + 1, fa0))
@@ -61,7 +61,7 @@ def min_dcf(trials: DataFrame, p_target: float = 0.01, c_miss: float = 1.0, c_fa
 def det_points(trials: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     """False acceptance and rejection rates with each distinct score as the threshold, score >= threshold accepted."""
     points = sweep(trials, score, target)
-    return points.select("score", ((F.col("n_all") - F.col("n_upto") + F.col("n")) / F.col("n_all")).alias("far"), ((F.col("p_upto") - F.col("p")) / F.col("p_all")).alias("frr"))
+    return points.select("score", F.try_divide(F.col("n_all") - F.col("n_upto") + F.col("n"), F.col("n_all")).alias("far"), F.try_divide(F.col("p_upto") - F.col("p"), F.col("p_all")).alias("frr"))
 
 
 def frr_at_far(trials: DataFrame, far: float = 0.0005, score: str = "score", target: str = "target") -> DataFrame:
@@ -87,7 +87,7 @@ def cavg(scores: DataFrame, trials: DataFrame, n_thresholds: int = 21, p_target:
     # A row a score, language and class becomes n_thresholds conditional sums: partial sums before the shuffle.
     by_step = known.join(F.broadcast(limits))  # n_thresholds rows
     rates = by_step.groupBy("step", "n_langs", "lang", "utt_lang").agg(F.avg((F.col("score") < F.col("t")).cast("double")).alias("below"))
-    weight = (1 - p_target) / ((F.col("n_langs") - 1) if not open_set else F.col("n_langs"))
+    weight = F.try_divide(F.lit(1 - p_target), (F.col("n_langs") - 1) if not open_set else F.col("n_langs"))
     part = F.when(F.col("lang") == F.col("utt_lang"), p_target * F.col("below")).otherwise(weight * (1 - F.col("below")))
     costs = rates.groupBy("step", "n_langs").agg((F.sum(part) / F.first("n_langs")).alias("cost"))
     return costs.agg(F.min("cost").alias("cavg"))
@@ -103,7 +103,7 @@ def min_tdcf(asv: DataFrame, cm: DataFrame, priors: tuple[float, float, float] =
     rates = asv.join(F.broadcast(t)).agg(rate("target", below).alias("miss"), rate("nontarget", 1 - below).alias("fa"), rate("spoof", below).alias("miss_spoof"))  # t: one row
     c1 = p_tar * (miss_cm - miss_asv * F.col("miss")) - p_non * fa_asv * F.col("fa")
     c2 = fa_cm * p_spoof * (1 - F.col("miss_spoof"))
-    beta = rates.select((c1 / c2).alias("beta"))
+    beta = rates.select(F.try_divide(c1, c2).alias("beta"))
     curve = det_points(cm).select("far", "frr").unionByName(cm.sparkSession.createDataFrame([(0.0, 1.0)], "far double, frr double"))
     return curve.join(F.broadcast(beta)).agg(F.min(F.col("beta") * F.col("frr") + F.col("far")).alias("min_tdcf"))
 
