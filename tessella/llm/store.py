@@ -20,10 +20,10 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +35,8 @@ END_ID = 0
 #: Chunks: least, usual and most ids; and how many ids the rolling hash spans.
 LEAST, USUAL, MOST, SPAN = 128, 512, 2048, 8
 WAVES = 4
+#: Texts are encoded together up to about so many bytes.
+SLICE_BYTES = 6 << 20
 #: Documents under one Merkle root of the manifest's lowest level, and roots under one of the next.
 BLOCK = 4096
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -49,45 +51,136 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class Pieces(dict):
+    """Encoded pieces: up to a limit for good, others in `extra` for as long as they are needed."""
+
+    LIMIT = 700_000
+
+    def __init__(self, prefix: str):
+        super().__init__()
+        self.prefix, self.extra = prefix, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.extra[piece]
+
+    def add(self, found: dict[str, bytes]) -> None:
+        (self if len(self) + len(found) <= self.LIMIT else self.extra).update(found)
+
+
 class Encoder:
     """Encodes texts with a tokenizers file, remembering the ids of pieces.
 
-    Byte-level BPE cuts a text before every blank that a visible character follows, and after a single line
-    end between two of them; so the ids of a text are those of its pieces, which recur.
+    Byte-level BPE never merges across these places, so the ids of a text are those of its pieces, which recur:
+    before a blank that a visible character follows; around a line end between two visible characters; between a
+    letter and a full stop or comma. New pieces are encoded many at once, as lines of one text.
     """
 
-    LIMIT = 300_000
     LINE = re.compile(r"(?<=\S)\n(?=[!-~\w])")
     BLANK = re.compile(r" (?=[!-~\w])")
+    PLAIN = re.compile(r"\S+")
+    #: A blank that no visible character follows, or one at the end (RE2 syntax).
+    ODD = r" ([^!-~\pL\pN]|$)"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.bare, self.spaced = Pieces(""), Pieces(" ")
+        self.line_end = self.whole(["\n"])[0]
+        self.end = np.array([END_ID], self.type).tobytes()
+
+    def whole(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def lines(self, strings: list[str]) -> list[bytes]:
+        """The ids of strings that hold no line end and end visibly."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(strings)], add_special_tokens=False)[0].ids, self.type)
+        ends = np.flatnonzero(ids == np.frombuffer(self.line_end, self.type)[0]) if len(self.line_end) == self.type.itemsize else ()
+        if len(ends) != len(strings) - 1:
+            return self.whole(strings)
+        data, size = ids.tobytes(), self.type.itemsize
+        edges = [-1, *ends.tolist(), len(ids)]
+        return [data[(i + 1) * size : j * size] for i, j in zip(edges, edges[1:])]
+
+    def learn(self, pieces: Pieces, new: set[str]) -> None:
+        if not new:
+            return
+        simple, inner, rest, stops = set(), [], [], []
+        first = set()
+        for x in new:
+            if "\n" in x:
+                parts = self.LINE.split(x)
+                if len(parts) > 1 and all(self.PLAIN.fullmatch(y) for y in parts):
+                    inner.append((x, parts))
+                    first.add(parts[0])
+                else:
+                    rest.append(x)
+            elif not self.PLAIN.fullmatch(x):
+                rest.append(x)
+            elif len(x) > 1 and x[-1] in ".," and x[-2].isalpha():
+                stops.append(x)
+            else:
+                simple.add(x)
+        simple |= {x[:-1] for x in stops if x[:-1] not in pieces and x[:-1] not in pieces.extra}
+        ordered = list(simple)
+        for k in range(0, len(ordered), 4000):
+            some = ordered[k : k + 4000]
+            pieces.add(dict(zip(some, self.lines([pieces.prefix + x for x in some]))))
+        if stops:
+            mark = dict(zip(".,", self.whole([".", ","])))
+            pieces.add({x: pieces[x[:-1]] + mark[x[-1]] for x in stops})
+        if rest:
+            pieces.extra.update(zip(rest, self.whole([pieces.prefix + x for x in rest])))
+        if inner:
+            self.learn(pieces, {y for y in first if y not in pieces and y not in pieces.extra})
+            self.learn(self.bare, {y for _, parts in inner for y in parts[1:] if y not in self.bare and y not in self.bare.extra})
+            pieces.extra.update({x: self.line_end.join([pieces[parts[0]], *(self.bare[y] for y in parts[1:])]) for x, parts in inner})
 
-    def pieces(self, text: str) -> list[str]:
-        out: list[str] = []
-        for line in self.LINE.split(text):
-            first, *rest = self.BLANK.split(line)
-            out.append(first)
-            out += [" " + x for x in rest]
-            out[-1] += "\n"
-        out[-1] = out[-1][:-1]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with END_ID at the end.
+
+        Arrow cuts the texts at blanks and numbers the distinct pieces; each of those is looked up or encoded once,
+        and their ids are put together with numpy. Texts with other blanks than single ones between words are cut by a pattern instead.
+        """
+        self.bare.extra, self.spaced.extra = {}, {}
+        column = pa.array(texts, pa.large_string())
+        odd = np.array(pc.match_substring_regex(column, self.ODD).to_pylist(), bool)
+        out: list[np.ndarray] = [None] * len(texts)
+        for i, ids in zip(np.flatnonzero(odd).tolist(), self.by_pattern([texts[i] for i in np.flatnonzero(odd).tolist()])):
+            out[i] = ids
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            lists = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+            codes = lists.flatten().dictionary_encode()
+            names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            heads, at = np.unique(codes[starts], return_inverse=True)
+            self.learn(self.bare, {names[i] for i in heads.tolist()} - self.bare.keys())
+            self.learn(self.spaced, set(names) - self.spaced.keys())
+            # Pieces after a blank, then pieces at the start of a text, then the end.
+            data = [*map(self.spaced.__getitem__, names), *(self.bare[names[i]] for i in heads.tolist()), self.end]
+            codes[starts] = len(names) + at
+            codes = np.insert(codes, starts + sizes, len(data) - 1)
+            flat = np.frombuffer(b"".join(data), self.type)
+            lengths = np.fromiter(map(len, data), np.int64, len(data)) // self.type.itemsize
+            first = np.cumsum(lengths) - lengths
+            each = lengths[codes]
+            upto = np.cumsum(each)
+            ids = flat[np.repeat(first[codes] - (upto - each), each) + np.arange(upto[-1])]
+            ends = upto[np.cumsum(sizes + 1) - 1].tolist()
+            for i, a, b in zip(plain.tolist(), [0, *ends], ends):
+                out[i] = ids[a:b]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, with END_ID at the end."""
-        cut = [self.pieces(x) for x in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        found = dict(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        if len(self.known) + len(found) <= self.LIMIT:
-            self.known |= found
-            get = self.known.__getitem__
-        else:
-            get = {**self.known, **found}.__getitem__ if len(found) < len(self.known) else (lambda k: found[k] if k in found else self.known[k])
-        return [np.fromiter(chain(chain.from_iterable(map(get, x)), (END_ID,)), self.type) for x in cut]
+    def by_pattern(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.BLANK.split(x) for x in texts]
+        heads = [x.pop(0) for x in cut]
+        self.learn(self.bare, set(heads) - self.bare.keys())
+        self.learn(self.spaced, set().union(*cut) - self.spaced.keys())
+        get = self.spaced.__getitem__
+        return [np.frombuffer(b"".join((self.bare[h], *map(get, x), self.end)), self.type) for h, x in zip(heads, cut)]
 
 
 # Chunks and roots
@@ -141,6 +234,16 @@ def places(rows: list[list[tuple[bytes, str, int, int]]]) -> pa.Array:
     return pa.array([[dict(zip(("hash", "pack", "at", "size"), x)) for x in row] for row in rows], kind)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about SLICE_BYTES of text each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    part = upto // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def drafts(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """row (a number), ident, n_tokens, root and chunks of each document, with the chunks in draft packs."""
     kind = docs.schema["ident"].dataType.simpleString()
@@ -155,8 +258,7 @@ def drafts(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         seen: dict[bytes, tuple[int, int]] = {}
         with store.open_output_stream(f"{base}/{name.split('/')[1]}", compression=None) as out:
             for batch in batches:
-                for k in range(0, batch.num_rows, 200):
-                    some = batch.slice(k, 200)
+                for some in slices(batch):
                     rows, counts = [], []
                     for ids in encode([x or "" for x in some.column("text").to_pylist()]):
                         chunks, last = [], 0
