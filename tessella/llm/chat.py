@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: The marks around a turn, as in the ChatML layout.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
+RESULTS = ("prompt_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask")
 TURN = "array<struct<role: string, text: string>>"
 
 
@@ -53,10 +54,10 @@ def preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejec
 
     Returns the other columns of pairs, and prompt_turns, prompt, chosen_text, chosen_mask, rejected_text and rejected_mask.
     The prompt is masked whole. Equal conversations have empty completions; a null conversation counts as empty;
-    without a common turn the prompt is empty. No row is dropped, and an empty table gives an empty table.
+    without a common turn the prompt is empty. No row is dropped, and an empty table gives an empty table. A column of pairs that has a result's name gives way to it.
     """
     a, b = (F.coalesce(pairs[c], F.array().cast(TURN)) for c in (chosen, rejected))
-    others = [pairs[c] for c in pairs.columns if c not in (chosen, rejected)]
+    others = [pairs[f"`{c}`"] for c in pairs.columns if c not in (chosen, rejected, *RESULTS)]
     split = pairs.select(*others, a.alias("__a"), b.alias("__b")).withColumn("prompt_turns", common_turns(F.col("__a"), F.col("__b")))
     rest = lambda c: F.expr(f"slice({c}, prompt_turns + 1, size({c}))")
     split = split.withColumn("prompt", rendered(F.expr("slice(__a, 1, prompt_turns)"))).withColumn("__a", rest("__a")).withColumn("__b", rest("__b"))

@@ -63,6 +63,11 @@ def n_words(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [df[f"`{c}`"] for c in df.columns]
+
+
 def texts(batch, column: str):
     """The column's values of an Arrow batch as str, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

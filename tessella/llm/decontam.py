@@ -91,7 +91,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str =
     for k, part in enumerate(slices(benchmark, item, text, max_slice_bytes)):
         items = [(r["item"] or "", r["text"]) for r in part.collect()]  # within max_slice_bytes
         shared = docs.sparkSession.sparkContext.broadcast(Index(items, width))
-        fields = [f for f in out.schema.fields if not f.name.startswith("__")]
+        fields = docs.schema.fields
         schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in extra]])
 
         def run(batches, shared=shared, names=[f.name for f in fields], first=k == 0):
@@ -124,7 +124,7 @@ def n_hit() -> Column:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    return scanned(docs, benchmark, **options).where(F.size("__hits") == 0).select(*docs.columns)
+    return scanned(docs, benchmark, **options).where(F.size("__hits") == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -140,4 +140,4 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
 
         return values.combine(hits, one)
 
-    return rows.withColumn(text, F.when(F.size("__hits") > 0, cut(rows[text], rows["__hits"])).otherwise(rows[text])).select(*docs.columns)
+    return rows.withColumn(text, F.when(F.size("__hits") > 0, cut(rows[text], rows["__hits"])).otherwise(rows[text])).select(*[f"`{c}`" for c in docs.columns])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, if_small, pinned
+from .common import BLANKS, ascii_lower, if_small, own_columns, pinned
 
 FANOUT = 3
 MAX_BROADCAST_KEYS = 100_000
@@ -86,7 +86,7 @@ def deduped(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: in
     """docs with __n_lines, __n_dropped and __kept (the text of the lines that stay).
 
     A line goes from every document if its key is long enough and min_docs documents hold it. A null or empty
-    text is one empty line. Repeated rows are documents of their own. Keys are compared by 64-bit hashes.
+    text is one empty line. An empty table gives an empty table. Repeated rows are documents of their own. Keys are compared by 64-bit hashes.
     """
     frequent = frequent_lines(docs, min_docs, min_chars, batches, ident, text)
     some = if_small(frequent, frequent.count(), MAX_BROADCAST_KEYS)
@@ -99,4 +99,4 @@ def deduped(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: in
     rows = rows.withColumn("__lines", kept)
     dropped = F.size(lines) - F.size("__lines")
     # No lines left at all and one empty line both give the empty text.
-    return rows.select(*[docs[c] for c in docs.columns], F.size(lines).cast("long").alias("__n_lines"), dropped.cast("long").alias("__n_dropped"), F.array_join("__lines", "\n").alias("__kept"))
+    return rows.select(*own_columns(docs), F.size(lines).cast("long").alias("__n_lines"), dropped.cast("long").alias("__n_dropped"), F.array_join("__lines", "\n").alias("__kept"))

@@ -64,8 +64,8 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
 def counted(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs, or its columns `keep`, with a struct column __counts of COUNTS (null text: as empty)."""
     kept = [c for c in docs.columns if keep is None or c in keep]
-    source = docs.select(*[docs[c] for c in kept], docs[text].alias("__text"))
-    schema = T.StructType([*docs.select(*[docs[c] for c in kept]).schema.fields, T.StructField("__counts", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
+    source = docs.select(*[docs[f"`{c}`"] for c in kept], docs[text].alias("__text"))
+    schema = T.StructType([*docs.select(*[docs[f"`{c}`"] for c in kept]).schema.fields, T.StructField("__counts", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
 
     def run(batches):
         for batch in batches:
@@ -165,4 +165,4 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judged(docs, **options).where("__kept").select(*docs.columns)
+    return judged(docs, **options).where("__kept").select(*[f"`{c}`" for c in docs.columns])

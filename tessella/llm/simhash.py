@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, pinned
+from .common import TO_LOWER, own_columns, pinned
 
 LEAF = 256
 SMALL = 32
@@ -252,7 +252,7 @@ def first_documents(docs: DataFrame, width: int = 5, r: int = 4, ident: str = "d
     stay = groups.where(F.col("ident").eqNullSafe(F.col("component_id"))).select(F.col("ident").alias("__ident"), F.col("fp").alias("__fp")).distinct()
     rows = docs.join(stay, docs[ident].eqNullSafe(F.col("__ident")))
     once = F.row_number().over(Window.partitionBy("__ident").orderBy("__fp"))
-    return rows.withColumn("__once", once).where("__once = 1").select(*[docs[c] for c in docs.columns])
+    return rows.withColumn("__once", once).where("__once = 1").select(*own_columns(docs))
 
 
 def as_hex(fp: Column) -> Column:
