@@ -33,7 +33,7 @@ from .common import new_dir, pinned, release
 
 END_ID = 0
 #: Chunks: least, usual and most ids; and how many ids the rolling hash spans.
-LEAST, USUAL, MOST, SPAN = 128, 512, 2048, 8
+LEAST, USUAL, MOST, SPAN = 128, 512, 2048, 4
 WAVES = 4
 #: Texts are encoded together up to about so many bytes.
 SLICE_BYTES = 6 << 20
@@ -137,17 +137,17 @@ class Encoder:
             self.learn(self.bare, {y for _, parts in inner for y in parts[1:] if y not in self.bare and y not in self.bare.extra})
             pieces.extra.update({x: self.line_end.join([pieces[parts[0]], *(self.bare[y] for y in parts[1:])]) for x, parts in inner})
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, with END_ID at the end.
 
         Arrow cuts the texts at blanks and numbers the distinct pieces; each of those is looked up or encoded once,
         and their ids are put together with numpy. Texts with other blanks than single ones between words are cut by a pattern instead.
         """
         self.bare.extra, self.spaced.extra = {}, {}
-        column = pa.array(texts, pa.large_string())
-        odd = np.array(pc.match_substring_regex(column, self.ODD).to_pylist(), bool)
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, self.ODD).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [None] * len(texts)
-        for i, ids in zip(np.flatnonzero(odd).tolist(), self.by_pattern([texts[i] for i in np.flatnonzero(odd).tolist()])):
+        for i, ids in zip(np.flatnonzero(odd).tolist(), self.by_pattern(column.filter(pa.array(odd)).to_pylist())):
             out[i] = ids
         plain = np.flatnonzero(~odd)
         if len(plain):
@@ -230,8 +230,11 @@ class Store:
 
 
 def places(rows: list[list[tuple[bytes, str, int, int]]]) -> pa.Array:
-    kind = pa.list_(pa.struct([("hash", pa.binary()), ("pack", pa.string()), ("at", pa.int64()), ("size", pa.int32())]))
-    return pa.array([[dict(zip(("hash", "pack", "at", "size"), x)) for x in row] for row in rows], kind)
+    """Lists of (hash, pack, at, size) as an Arrow column."""
+    columns = list(zip(*(x for row in rows for x in row)))
+    fields = [("hash", pa.binary()), ("pack", pa.string()), ("at", pa.int64()), ("size", pa.int32())]
+    values = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -260,7 +263,7 @@ def drafts(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
             for batch in batches:
                 for some in slices(batch):
                     rows, counts = [], []
-                    for ids in encode([x or "" for x in some.column("text").to_pylist()]):
+                    for ids in encode(pc.fill_null(some.column("text"), "")):
                         chunks, last = [], 0
                         for end in cuts(ids):
                             data = ids[last:end].tobytes()

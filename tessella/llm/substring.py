@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import pinned, release
 
 PHRASE = 6
+#: More shared anchors than this are joined instead of broadcast as a bit filter.
+MAX_FILTERED = 24_000_000
 #: Documents are hashed together up to about so many words.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 150_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -31,7 +33,7 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 class WordHashes(dict):
     """63-bit hashes of words, remembered up to a limit."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word) >> 1
@@ -109,25 +111,52 @@ def anchors(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"ident {kind}, anchor bigint")
 
 
-def windows(rows: DataFrame, width: int) -> DataFrame:
-    """ident, start, hash of the windows whose anchor is among the document's `shared` anchors."""
+class BitFilter:
+    """A Bloom filter of fixed size over anchors, which are hashes themselves: it passes all that were added and few others."""
+
+    BITS = 27
+
+    def __init__(self, words: np.ndarray, masks: np.ndarray):
+        self.bits = np.zeros(1 << (self.BITS - 6), np.uint64)
+        self.bits[words] = masks.view(np.uint64)
+
+    @classmethod
+    def of(cls, anchors: DataFrame) -> BitFilter:
+        """Built from bits that Spark has put together word by word; the driver gets its fixed size at most."""
+        slots = F.explode(F.array(*[F.shiftrightunsigned("anchor", by).bitwiseAND(F.lit((1 << cls.BITS) - 1)) for by in (0, 64 - cls.BITS)])).alias("slot")
+        words = anchors.select(slots).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask")).toArrow()
+        return cls(words.column("word").to_numpy(), words.column("mask").to_numpy())
+
+    def passes(self, anchors: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(anchors), bool)
+        for slot in (anchors & np.uint64((1 << self.BITS) - 1), anchors >> np.uint64(64 - self.BITS)):
+            ok &= (self.bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return ok
+
+
+def listed(batch: pa.RecordBatch, c: Chunk) -> np.ndarray:
+    """Which windows have an anchor that the column `shared` lists for their document."""
+    shared = batch.column("shared")
+    lists = shared.flatten().to_numpy().view(np.uint64)
+    owner = np.repeat(np.arange(batch.num_rows), shared.value_lengths().fill_null(0).to_numpy())
+    values, at = np.unique(lists, return_inverse=True)
+    pairs = np.unique(owner * len(values) + at)
+    if not len(c.row) or not len(values):
+        return np.zeros(len(c.row), bool)
+    place = np.minimum(np.searchsorted(values, c.anchor), len(values) - 1)
+    wanted = c.row * len(values) + place
+    found = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+    return (values[place] == c.anchor) & (pairs[found] == wanted)
+
+
+def windows(rows: DataFrame, width: int, bits=None) -> DataFrame:
+    """ident, start, hash of the windows whose anchor passes the broadcast filter, or is listed in the column `shared`."""
     kind = rows.schema["ident"].dataType.simpleString()
 
     def run(batches):
         for batch, docs in chunks(batches):
             c = Chunk(docs, width)
-            shared = batch.column("shared")
-            lists = shared.flatten().to_numpy().view(np.uint64)
-            owner = np.repeat(np.arange(batch.num_rows), shared.value_lengths().fill_null(0).to_numpy())
-            # Whether (row, anchor) is listed: both as positions among the anchors that are.
-            values, at = np.unique(lists, return_inverse=True)
-            listed = np.unique(owner * len(values) + at)
-            if not len(c.row) or not len(values):
-                continue
-            place = np.minimum(np.searchsorted(values, c.anchor), len(values) - 1)
-            wanted = c.row * len(values) + place
-            found = np.minimum(np.searchsorted(listed, wanted), len(listed) - 1)
-            ok = (values[place] == c.anchor) & (listed[found] == wanted)
+            ok = listed(batch, c) if bits is None else bits.value.passes(c.anchor)
             yield pa.RecordBatch.from_arrays([batch.column("ident").take(pa.array(c.row[ok])), pa.array(c.start[ok], pa.int32()), pa.array(c.hashes[ok].view(np.int64))], names=["ident", "start", "hash"])
 
     return rows.mapInArrow(run, f"ident {kind}, start int, hash bigint")
@@ -145,19 +174,24 @@ def factors(starts: list[int], width: int) -> list[tuple[int, int]]:
 
 
 def duplicate_windows(rows: DataFrame, width: int) -> DataFrame:
-    """ident and starts (array): the windows of a document that a document with a smaller ident holds."""
+    """ident and starts (array): the windows of a document that a document with a smaller ident holds.
+
+    Up to MAX_FILTERED shared anchors, a bit filter of them goes to all executors and picks the windows while the
+    texts are read. Beyond that a filter of bounded size would pass too much: then each document is joined with its own shared anchors.
+    """
+    spark = rows.sparkSession
     spans = F.min("ident").alias("first"), F.max("ident").alias("last")
-    shared = anchors(rows, width).groupBy("anchor").agg(*spans).where("first < last")
-    shared = pinned(shared.select("anchor"))
-    release(rows.sparkSession)
-    wanted = pinned(anchors(rows, width).join(shared, "anchor").groupBy("ident").agg(F.collect_set("anchor").alias("shared")))
-    release(rows.sparkSession)
-    texts = rows.join(wanted, "ident")
-    firsts = pinned(windows(texts, width).groupBy("hash").agg(*spans).where("first < last").select("hash", "first"))
-    release(rows.sparkSession)
-    found = windows(texts, width).join(firsts, "hash").where("first < ident")
-    out = pinned(found.groupBy("ident").agg(F.collect_set("start").alias("starts")))
-    release(rows.sparkSession)
+    shared = pinned(anchors(rows, width).groupBy("anchor").agg(*spans).where("first < last").select("anchor"))
+    release(spark)
+    if shared.count() <= MAX_FILTERED:
+        picked = windows(rows, width, spark.sparkContext.broadcast(BitFilter.of(shared)))
+    else:
+        wanted = pinned(anchors(rows, width).join(shared, "anchor").groupBy("ident").agg(F.collect_set("anchor").alias("shared")))
+        picked = windows(rows.join(wanted, "ident"), width)
+    firsts = pinned(picked.groupBy("hash").agg(*spans).where("first < last").select("hash", "first"))
+    release(spark)
+    out = pinned(picked.join(firsts, "hash").where("first < ident").groupBy("ident").agg(F.collect_set("start").alias("starts")))
+    release(spark)
     return out
 
 
