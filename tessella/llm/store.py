@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,11 +47,35 @@ CHUNKS = "array<struct<hash: binary, pack: string, at: bigint, size: int>>"
 # Tokenizing
 
 
+#: Seconds after which a worker that encodes no more gives the memory of its encoders back.
+IDLE_S = 5
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class Idle:
+    """Drops the encoders of a worker some time after its last task with them: workers outlive a job and share their machine's memory with the next."""
+
+    timer: threading.Timer | None = None
+
+    def __enter__(self) -> None:
+        if Idle.timer:
+            Idle.timer.cancel()
+
+    def __exit__(self, *_) -> None:
+        Idle.timer = threading.Timer(IDLE_S, self.drop)
+        Idle.timer.daemon = True
+        Idle.timer.start()
+
+    @staticmethod
+    def drop() -> None:
+        encoder.cache_clear()
+        pa.default_memory_pool().release_unused()
+
+
 class Pieces(dict):
     """Encoded pieces: up to a limit for good, others in `extra` for as long as they are needed."""
 
@@ -254,12 +279,12 @@ def drafts(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     def run(batches):
         context = TaskContext.get()
         part = context.partitionId()
-        encode = encoder(tokenizer).encode
         store, base = fs.FileSystem.from_uri(f"{folder}/{part % WAVES}")
         store.create_dir(base, recursive=True)
         name, at, row = f"{part % WAVES}/{part:06d}-{context.taskAttemptId()}.ids", 0, part << 40
         seen: dict[bytes, tuple[int, int]] = {}
-        with store.open_output_stream(f"{base}/{name.split('/')[1]}", compression=None) as out:
+        with Idle(), store.open_output_stream(f"{base}/{name.split('/')[1]}", compression=None) as out:
+            encode = encoder(tokenizer).encode
             for batch in batches:
                 for some in slices(batch):
                     rows, counts = [], []
