@@ -71,3 +71,18 @@ def own_columns(df: DataFrame) -> list[Column]:
 def texts(batch, column: str):
     """The column's values of an Arrow batch as str, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a column __row, an id of each row that stays the same: the rows are written to the shared folder and read again."""
+    path = new_dir(df.sparkSession, "numbered")
+    df.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def first_rows(rows: DataFrame, groups: DataFrame, ident: str) -> DataFrame:
+    """Of each group (__row, group) of numbered rows that with the smallest id, nulls last, then the smallest __row; without __row."""
+    ids = rows.select("__row", rows[f"`{ident}`"].alias("__ident"))
+    least = F.min(F.struct(F.col("__ident").isNull(), "__ident", "__row"))
+    stay = groups.join(ids, "__row").groupBy("group").agg(least.alias("least")).select(F.col("least.__row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").drop("__row")

@@ -14,10 +14,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, own_columns, pinned
+from .common import TO_LOWER, first_rows, numbered, pinned
 
 LEAF = 256
 SMALL = 32
@@ -247,12 +247,13 @@ def clustered(docs: DataFrame, width: int = 4, r: int = 4, ident: str = "doc_id"
 
 
 def first_documents(docs: DataFrame, width: int = 5, r: int = 4, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id, with its own columns; of repeated rows one stays."""
-    groups = clustered(docs, width, r, ident, text)
-    stay = groups.where(F.col("ident").eqNullSafe(F.col("component_id"))).select(F.col("ident").alias("__ident"), F.col("fp").alias("__fp")).distinct()
-    rows = docs.join(stay, docs[ident].eqNullSafe(F.col("__ident")))
-    once = F.row_number().over(Window.partitionBy("__ident").orderBy("__fp"))
-    return rows.withColumn("__once", once).where("__once = 1").select(*own_columns(docs))
+    """One document of each component, that with the smallest id (nulls last), with its own columns.
+
+    Rows are told apart by a row id of their own, so different texts without an id, or under one id, all stay.
+    """
+    rows = numbered(docs)
+    groups = clustered(rows, width, r, "__row", text)
+    return first_rows(rows, groups.select(F.col("ident").alias("__row"), F.col("component_id").alias("group")), ident)
 
 
 def as_hex(fp: Column) -> Column:

@@ -345,6 +345,15 @@ def test_simhash_odd_input(edge, none):
     assert simhash.clustered(none).count() == 0 and simhash.first_documents(none).count() == 0
 
 
+def test_first_documents_tell_rows_apart(spark):
+    """Different texts without an id, or under one id, are different documents; of copies the one with an id stays."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[4]), (9, texts[5]), (8, texts[5])]
+    got = simhash.first_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 # 10
 
 
