@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontam, lines, lm, mixing, quality, queries, simhash, store, substring, warc
+from tessella.llm import chat, decontam, jaccard, lines, lm, mixing, quality, queries, simhash, store, substring, warc
 from tessella.llm.common import TO_LOWER
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -354,6 +354,34 @@ def test_first_documents_tell_rows_apart(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_near_dedup_links_by_similarity(spark):
+    """The stage keeps one document of each component of pairs of exact similarity 0.8 or more, and no less."""
+    import corpus_pipeline
+
+    g = np.random.default_rng(5)
+    texts = []
+    for c in range(12):
+        base = [f"c{c}w{x}" for x in g.integers(0, 10_000, 150)]
+        for _ in range(50 if c == 0 else 8):
+            words = list(base)
+            for k in g.integers(0, 150, g.integers(0, 9)):
+                words[k] = f"x{g.integers(0, 1 << 40)}"
+            texts.append(" ".join(words) + (" a line that many of the documents have in common" * (c % 2)))
+    texts += ["", None, " ", "One Two", "one two", *texts[:3]]
+    sets = [set(zip(*[w[k:] for k in range(5)])) or {tuple(w)} - {()} for w in ((t or "").lower().split() for t in texts)]
+    link = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    label = simhash.roots(len(texts), *np.array(link).T)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert {r["doc_id"] for r in got} == set(label.tolist()) and len(got) == len(set(label.tolist()))
+
+
+def test_near_dedup_odd_input(edge, none):
+    ids = [r["doc_id"] for r in jaccard.first_documents(edge).collect()]
+    assert len(ids) == len(set(ids)) and {2, 5, 7, 9, None} <= set(ids) and not {3, 4, 6, 8} & set(ids)
+    assert jaccard.first_documents(none).count() == 0 and jaccard.first_documents(edge).columns == edge.columns
+
+
 # 10
 
 
