@@ -104,9 +104,9 @@ def sentence_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 30 words of a turn against those of the turn before."""
+    """The words of a turn against those of the turn before."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(words(F.col("text")), 1, 30).alias("hyp"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", words(F.col("text")).alias("hyp"))
     turns = turns.withColumn("ref", F.lag("hyp").over(w)).where("ref is not null")
     return turns.select(F.struct("conv_id", "turn").alias("pair"), "ref", "hyp")
 

@@ -122,6 +122,32 @@ def test_word_errors(spark):
     assert got == {1: (2, 1, 1, 0), 2: (0, 0, 1, 0)}
 
 
+def brute_edits(a, b):
+    """The fewest edits between two lists."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_turns_are_aligned_whole(spark, tmp_path):
+    """word_errors and confusions count every word of a turn, not those of a prefix."""
+    from tessella import plans
+
+    r = random.Random(3)
+    turns = [(c, k, " ".join(r.choice("abcdefgh") for _ in range(r.choice([0, 5, 40, 120])))) for c in range(4) for k in range(5)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x["conv_id"]: x for x in plans.QUERIES["word_errors"](spark, str(tmp_path)).collect()}
+    for c in range(4):
+        texts = [t.split() for i, _, t in turns if i == c]
+        assert got[c]["words"] == sum(map(len, texts[:-1]))
+        assert got[c]["sub"] + got[c]["ins"] + got[c]["del"] == sum(map(brute_edits, texts, texts[1:]))
+    rows = plans.QUERIES["confusions"](spark, str(tmp_path)).collect()
+    assert sum(x["count"] for x in rows if x["ref_word"] is not None) == sum(x["words"] for x in got.values())
+
+
 def test_kneser_ney_sums_to_one(spark):
     rows = spark.createDataFrame([(["a", "b", "a"],), (["b", "c"],), (["a", "b", "c"],), (["d"],)], "w array<string>")
     kn = text.kneser_ney(text.history_counts(rows, F.col("w"), 2), 2)
