@@ -63,6 +63,21 @@ def document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("query <> source").select("query", "source", F.round("score", 4).alias("score"))
 
 
+@query()
+def document_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As document_similarity, over all terms; a term of many documents is dealt out by its sources."""
+    salts = 16
+    counts = t.term_counts(docs(spark, sf_dir), "doc_id", F.col("w"), order=1)
+    hot = counts.groupBy("term").agg((F.count("*") > 50).alias("hot"))
+    scored = t.tf_idf(counts, "doc_id").join(hot, "term")
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    one = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(0)
+    queries = scored.where("doc_id % 20 = 0").withColumn("salt", F.explode(every)).select(F.col("doc_id").alias("query"), F.struct("term", "salt").alias("term"), "tfidf")
+    sources = scored.select(F.col("doc_id").alias("source"), F.struct("term", one.alias("salt")).alias("term"), "tfidf")
+    pairs = t.similarity(queries, sources, "query", "source")
+    return pairs.where("query <> source").select("query", "source", F.round("score", 4).alias("score"))
+
+
 @query(f"WITH {SQL_WORDS} SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM w) GROUP BY word ORDER BY count DESC, word LIMIT 50")
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.top_words(docs(spark, sf_dir), F.col("w"), 50)
