@@ -30,6 +30,12 @@ def augmented_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.with_augmented(table(spark, sf_dir, "customer").where("c_nationkey = 1").select(F.col("c_custkey").alias("key")), "key")
 
 
+@query()
+def augmented_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of all customers."""
+    return k.with_augmented(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), "key")
+
+
 @query("SELECT s_nationkey % 3 AS job, l_orderkey, l_linenumber FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 6")
 def filter_by_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "supplier").where("s_nationkey < 6").select((F.col("s_nationkey") % 3).alias("job"), F.col("s_suppkey").alias("l_suppkey"))

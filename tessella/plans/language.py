@@ -175,6 +175,13 @@ def text_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.illegal_text(table(spark, sf_dir, "documents"), "doc_id", "text").where("rule in ('edges', 'empty', 'null')")
 
 
+@query(r"""SELECT doc_id, 'edges' AS rule FROM documents WHERE regexp_matches(text, '^\s|\s$') UNION ALL SELECT doc_id, 'empty' FROM documents WHERE trim(text) = '' UNION ALL SELECT doc_id, 'null' FROM documents WHERE text IS NULL
+UNION ALL SELECT doc_id, 'control' FROM documents WHERE regexp_matches(text, '[\x00-\x08\x0E-\x1F]') UNION ALL SELECT doc_id, 'reserved' FROM documents WHERE regexp_matches(text, '(^|\s)(<s>|</s>|#0)(\s|$)')""")
+def text_validation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five rules."""
+    return t.illegal_text(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query(r"SELECT regexp_replace(url, '\d+', 'N', 'g') AS pattern, count(*) AS count FROM pages GROUP BY ALL")
 def log_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.log_summary(table(spark, sf_dir, "pages"), "url")

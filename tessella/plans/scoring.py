@@ -35,17 +35,17 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6))
 
 
-def cohort(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores of the trials, of speakers and of vectors against the cohort (every seventh vector)."""
+def cohort(spark: SparkSession, sf_dir: str, trial: str = "{} % 5 = 1") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of the trials (all vectors for which `trial` holds), of speakers and of vectors against the cohort (every seventh vector)."""
     vec = embedded(spark, sf_dir)
     all_scores = scores(spark, sf_dir)
     enroll = all_scores.where("test % 7 = 0").select("enroll", F.col("test").alias("cohort"), "score")
     units = vec.select("vec_id", F.col("v").alias("vector"))
-    tests = vec.where("vec_id % 5 = 1").select(F.col("vec_id").alias("test"))
+    tests = vec.where(trial.format("vec_id")).select(F.col("vec_id").alias("test"))
     pairs = tests.crossJoin(F.broadcast(vec.where("vec_id % 7 = 0").select(F.col("vec_id").alias("enroll"))))
     against = trials.cosine_scores(pairs, units.withColumnRenamed("vec_id", "enroll"), units.withColumnRenamed("vec_id", "test"))
     test = against.select("test", F.col("enroll").alias("cohort"), F.round("score", 6).alias("score"))
-    return all_scores.where("test % 5 = 1"), enroll, test
+    return all_scores.where(trial.format("test")), enroll, test
 
 
 SQL_COHORT = SQL_SCORES + """,
@@ -185,6 +185,12 @@ def score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.s_norm(*cohort(spark, sf_dir)).select("enroll", "test", "target", F.round("score", 5).alias("score"))
 
 
+@query()
+def score_norm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As score_norm, for all trials."""
+    return trials.s_norm(*cohort(spark, sf_dir, "true")).select("enroll", "test", "target", F.round("score", 5).alias("score"))
+
+
 @query(SQL_COHORT + """,
 er AS (SELECT * FROM ec QUALIFY row_number() OVER (PARTITION BY enroll ORDER BY score DESC, cohort) <= 20),
 tr AS (SELECT * FROM tc QUALIFY row_number() OVER (PARTITION BY test ORDER BY score DESC, cohort) <= 20),
@@ -193,6 +199,12 @@ def adaptive_score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.s_norm(*cohort(spark, sf_dir), top=20).select("enroll", "test", "target", F.round("score", 5).alias("score"))
 
 
+@query()
+def adaptive_score_norm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As adaptive_score_norm, for all trials."""
+    return trials.s_norm(*cohort(spark, sf_dir, "true"), top=20).select("enroll", "test", "target", F.round("score", 5).alias("score"))
+
+
 @query(SQL_COHORT + """,
 er AS (SELECT * FROM ec QUALIFY row_number() OVER (PARTITION BY enroll ORDER BY score DESC, cohort) <= 20),
 tr AS (SELECT * FROM tc QUALIFY row_number() OVER (PARTITION BY test ORDER BY score DESC, cohort) <= 20),
@@ -204,6 +216,12 @@ def cross_score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.s_norm_cross(*cohort(spark, sf_dir), top=20).select("enroll", "test", "target", F.round("score", 5).alias("score"))
 
 
+@query()
+def cross_score_norm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cross_score_norm, for all trials."""
+    return trials.s_norm_cross(*cohort(spark, sf_dir, "true"), top=20).select("enroll", "test", "target", F.round("score", 5).alias("score"))
+
+
 @query(SQL_SCORES + "SELECT enroll, test, round(0.3::DOUBLE * a + 0.7::DOUBLE * score, 8) AS score FROM (SELECT s.enroll, s.test, s.score, coalesce(round(o.score * o.score, 6), 0) AS a FROM scores s LEFT JOIN (SELECT * FROM scores WHERE test % 3 = 0) o USING (enroll, test))")
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores(spark, sf_dir)

@@ -59,7 +59,18 @@ r AS (SELECT u AS node, u AS label FROM n UNION SELECT n.v, r.label FROM r JOIN
 SELECT node, min(label) AS label FROM r GROUP BY node""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of the first hundred and fifty that share a part, one after the other."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 150").select("l_orderkey", "l_partkey").distinct()
+    return linked_orders(table(spark, sf_dir, "lineitem").where("l_orderkey <= 150"))
+
+
+@query()
+def connected_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders that share a part, one after the other."""
+    return linked_orders(table(spark, sf_dir, "lineitem"))
+
+
+def linked_orders(lines: DataFrame) -> DataFrame:
+    """node, label: the smallest order that shared parts reach, for every order."""
+    lines = lines.select("l_orderkey", "l_partkey").distinct()
     first = lines.groupBy("l_partkey").agg(F.min("l_orderkey").alias("first"))
     edges = lines.join(first, "l_partkey").select(F.col("l_orderkey").alias("u"), F.col("first").alias("v"))
     return s.components(edges, "u", "v")
