@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
-import threading
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,10 +35,10 @@ from .common import new_dir, pinned, release
 
 END_ID = 0
 #: Chunks: least, usual and most ids; and how many ids the rolling hash spans.
-LEAST, USUAL, MOST, SPAN = 128, 512, 2048, 4
+LEAST, USUAL, MOST, SPAN = 128, 512, 2048, 8
 WAVES = 4
 #: Texts are encoded together up to about so many bytes.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 8 << 20
 #: Documents under one Merkle root of the manifest's lowest level, and roots under one of the next.
 BLOCK = 4096
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -47,120 +48,108 @@ CHUNKS = "array<struct<hash: binary, pack: string, at: bigint, size: int>>"
 # Tokenizing
 
 
-#: Seconds after which a worker that encodes no more gives the memory of its encoders back.
-IDLE_S = 5
-
-
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-class Idle:
-    """Drops the encoders of a worker some time after its last task with them: workers outlive a job and share their machine's memory with the next."""
-
-    timer: threading.Timer | None = None
-
-    def __enter__(self) -> None:
-        if Idle.timer:
-            Idle.timer.cancel()
-
-    def __exit__(self, *_) -> None:
-        Idle.timer = threading.Timer(IDLE_S, self.drop)
-        Idle.timer.daemon = True
-        Idle.timer.start()
-
-    @staticmethod
-    def drop() -> None:
-        encoder.cache_clear()
-        pa.default_memory_pool().release_unused()
-
-
-class Pieces(dict):
-    """Encoded pieces: up to a limit for good, others in `extra` for as long as they are needed."""
-
-    LIMIT = 700_000
-
-    def __init__(self, prefix: str):
-        super().__init__()
-        self.prefix, self.extra = prefix, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.extra[piece]
-
-    def add(self, found: dict[str, bytes]) -> None:
-        (self if len(self) + len(found) <= self.LIMIT else self.extra).update(found)
-
-
 class Encoder:
     """Encodes texts with a tokenizers file, remembering the ids of pieces.
 
-    Byte-level BPE never merges across these places, so the ids of a text are those of its pieces, which recur:
-    before a blank that a visible character follows; around a line end between two visible characters; between a
-    letter and a full stop or comma. New pieces are encoded many at once, as lines of one text.
+    Byte-level BPE with its usual pattern never merges across these places, so the ids of a text are those of its pieces,
+    which recur: before a blank that a visible character follows; around a line end between two visible characters;
+    between letters and the marks after them. Files of any other kind encode whole texts.
     """
 
+    #: Pieces to remember, of CACHED_CHARS characters at most: some 50 MB a worker, whatever the corpus.
+    CACHED, CACHED_CHARS = 300_000, 30
     LINE = re.compile(r"(?<=\S)\n(?=[!-~\w])")
     BLANK = re.compile(r" (?=[!-~\w])")
     PLAIN = re.compile(r"\S+")
+    #: Latin letters and then ASCII marks but the apostrophe, which can begin a token of its own.
+    WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
     #: A blank that no visible character follows, or one at the end (RE2 syntax).
     ODD = r" ([^!-~\pL\pN]|$)"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.bare, self.spaced = Pieces(""), Pieces(" ")
-        self.line_end = self.whole(["\n"])[0]
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.bare: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.end = np.array([END_ID], self.type).tobytes()
+        self.by_pieces = self.is_usual(path)
+        # How the file's pre-tokenizer writes the bytes of letters.
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.written = {ord(c): shown(c)[0][0] for c in [" ", *map(chr, range(0xC0, 0x250))]}
+
+    def is_usual(self, path: str) -> bool:
+        """Whether the file is byte-level BPE with the usual pattern, and no added token or setting that looks beyond pieces."""
+        with open(path, encoding="utf-8") as f:
+            read = json.load(f)
+        kind, cutter = read["model"], read.get("pre_tokenizer") or {}
+        usual = kind.get("type") == "BPE" and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
+        usual = usual and not kind.get("dropout") and not read.get("normalizer") and not read.get("truncation") and not read.get("padding")
+        return usual and all(self.PLAIN.fullmatch(t["content"]) and not self.WORD.search(t["content"][:1]) and not t.get("lstrip") and not t.get("rstrip") for t in read.get("added_tokens", ()))
 
     def whole(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def lines(self, strings: list[str]) -> list[bytes]:
-        """The ids of strings that hold no line end and end visibly."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(strings)], add_special_tokens=False)[0].ids, self.type)
-        ends = np.flatnonzero(ids == np.frombuffer(self.line_end, self.type)[0]) if len(self.line_end) == self.type.itemsize else ()
-        if len(ends) != len(strings) - 1:
-            return self.whole(strings)
-        data, size = ids.tobytes(), self.type.itemsize
-        edges = [-1, *ends.tolist(), len(ids)]
-        return [data[(i + 1) * size : j * size] for i, j in zip(edges, edges[1:])]
-
-    def learn(self, pieces: Pieces, new: set[str]) -> None:
-        if not new:
-            return
-        simple, inner, rest, stops = set(), [], [], []
-        first = set()
-        for x in new:
-            if "\n" in x:
-                parts = self.LINE.split(x)
-                if len(parts) > 1 and all(self.PLAIN.fullmatch(y) for y in parts):
-                    inner.append((x, parts))
-                    first.add(parts[0])
-                else:
-                    rest.append(x)
-            elif not self.PLAIN.fullmatch(x):
-                rest.append(x)
-            elif len(x) > 1 and x[-1] in ".," and x[-2].isalpha():
-                stops.append(x)
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def marked(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            if len(self.marks) > 50_000:
+                self.marks = {"": b""}
+            found = self.marks[marks] = self.whole([marks])[0]
+        return found
+
+    def learn(self, known: dict[str, bytes], prefix: str, new: list[str]) -> list[bytes]:
+        """The ids of some pieces that are not known, each behind the prefix; short ones are remembered while there is room."""
+        out: list[bytes | None] = [None] * len(new)
+        rest, lines = [], []
+        match, tokenize, written, code = self.WORD.fullmatch, self.tokenizer.model.tokenize, self.written, self.code
+        room = self.CACHED - len(self.bare) - len(self.spaced)
+        before = prefix.translate(written)
+        for i, x in enumerate(new):
+            if found := match(x):
+                letters, marks = found.groups()
+                ids = known.get(letters) if marks else None
+                if ids is None:
+                    shown = letters if letters.isascii() else letters.translate(written)
+                    ids = array(code, [t.id for t in tokenize(before + shown)]).tobytes()
+                out[i] = ids + self.marked(marks) if marks else ids
+                if room > 0 and len(x) <= self.CACHED_CHARS:
+                    known[x] = out[i]
+                    room -= 1
+            elif "\n" in x and len(parts := self.LINE.split(x)) > 1 and all(map(self.PLAIN.fullmatch, parts)):
+                lines.append((i, parts))
             else:
-                simple.add(x)
-        simple |= {x[:-1] for x in stops if x[:-1] not in pieces and x[:-1] not in pieces.extra}
-        ordered = list(simple)
-        for k in range(0, len(ordered), 4000):
-            some = ordered[k : k + 4000]
-            pieces.add(dict(zip(some, self.lines([pieces.prefix + x for x in some]))))
-        if stops:
-            mark = dict(zip(".,", self.whole([".", ","])))
-            pieces.add({x: pieces[x[:-1]] + mark[x[-1]] for x in stops})
-        if rest:
-            pieces.extra.update(zip(rest, self.whole([pieces.prefix + x for x in rest])))
-        if inner:
-            self.learn(pieces, {y for y in first if y not in pieces and y not in pieces.extra})
-            self.learn(self.bare, {y for _, parts in inner for y in parts[1:] if y not in self.bare and y not in self.bare.extra})
-            pieces.extra.update({x: self.line_end.join([pieces[parts[0]], *(self.bare[y] for y in parts[1:])]) for x, parts in inner})
+                rest.append(i)
+        for i, ids in zip(rest, self.whole([prefix + new[i] for i in rest]) if rest else ()):
+            out[i] = ids
+            if room > 0 and len(new[i]) <= self.CACHED_CHARS:
+                known[new[i]] = ids
+                room -= 1
+        if lines:
+            heads = self.of(known, prefix, [parts[0] for _, parts in lines])
+            tails = iter(self.of(self.bare, "", [y for _, parts in lines for y in parts[1:]]))
+            end = self.marked("\n")
+            for (i, parts), head in zip(lines, heads):
+                out[i] = end.join([head, *(next(tails) for _ in parts[1:])])
+        return out
+
+    def of(self, known: dict[str, bytes], prefix: str, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces behind the prefix."""
+        out = list(map(known.get, pieces))
+        new = list({x for x, ids in zip(pieces, out) if ids is None})
+        if new:
+            found = dict(zip(new, self.learn(known, prefix, new)))
+            out = [found[x] if ids is None else ids for x, ids in zip(pieces, out)]
+        return out
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, with END_ID at the end.
@@ -168,8 +157,9 @@ class Encoder:
         Arrow cuts the texts at blanks and numbers the distinct pieces; each of those is looked up or encoded once,
         and their ids are put together with numpy. Texts with other blanks than single ones between words are cut by a pattern instead.
         """
-        self.bare.extra, self.spaced.extra = {}, {}
         column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not self.by_pieces:
+            return [np.frombuffer(ids + self.end, self.type) for ids in self.whole(column.to_pylist())]
         odd = pc.match_substring_regex(column, self.ODD).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [None] * len(texts)
         for i, ids in zip(np.flatnonzero(odd).tolist(), self.by_pattern(column.filter(pa.array(odd)).to_pylist())):
@@ -178,14 +168,12 @@ class Encoder:
         if len(plain):
             lists = pc.split_pattern(column.filter(pa.array(~odd)), " ")
             codes = lists.flatten().dictionary_encode()
-            names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            names, codes = codes.dictionary.to_numpy(zero_copy_only=False).tolist(), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             starts = np.cumsum(sizes) - sizes
             heads, at = np.unique(codes[starts], return_inverse=True)
-            self.learn(self.bare, {names[i] for i in heads.tolist()} - self.bare.keys())
-            self.learn(self.spaced, set(names) - self.spaced.keys())
             # Pieces after a blank, then pieces at the start of a text, then the end.
-            data = [*map(self.spaced.__getitem__, names), *(self.bare[names[i]] for i in heads.tolist()), self.end]
+            data = [*self.of(self.spaced, " ", names), *self.of(self.bare, "", [names[i] for i in heads.tolist()]), self.end]
             codes[starts] = len(names) + at
             codes = np.insert(codes, starts + sizes, len(data) - 1)
             flat = np.frombuffer(b"".join(data), self.type)
@@ -201,11 +189,9 @@ class Encoder:
 
     def by_pattern(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.BLANK.split(x) for x in texts]
-        heads = [x.pop(0) for x in cut]
-        self.learn(self.bare, set(heads) - self.bare.keys())
-        self.learn(self.spaced, set().union(*cut) - self.spaced.keys())
-        get = self.spaced.__getitem__
-        return [np.frombuffer(b"".join((self.bare[h], *map(get, x), self.end)), self.type) for h, x in zip(heads, cut)]
+        heads = self.of(self.bare, "", [x[0] for x in cut])
+        rest = iter(self.of(self.spaced, " ", [y for x in cut for y in x[1:]]))
+        return [np.frombuffer(b"".join((h, *(next(rest) for _ in x[1:]), self.end)), self.type) for h, x in zip(heads, cut)]
 
 
 # Chunks and roots
@@ -283,7 +269,7 @@ def drafts(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         name, at, row = f"{part % WAVES}/{part:06d}-{context.taskAttemptId()}.ids", 0, part << 40
         seen: dict[bytes, tuple[int, int]] = {}
-        with Idle(), store.open_output_stream(f"{base}/{name.split('/')[1]}", compression=None) as out:
+        with store.open_output_stream(f"{base}/{name.split('/')[1]}", compression=None) as out:
             encode = encoder(tokenizer).encode
             for batch in batches:
                 for some in slices(batch):
