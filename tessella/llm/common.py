@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or on one machine, as in tests, a temporary one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         found = sc.getCheckpointDir()
     return found
@@ -68,6 +71,19 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [df[f"`{c}`"] for c in df.columns]
 
 
+def set_apart(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str], Callable[..., DataFrame]]:
+    """docs under the names c0, c1, ..., so that no name of its own meets one of ours; the new names of some columns; and the way
+    back, which keeps the columns of docs and, under the names given, some results; these take the place of columns of docs of the same name."""
+    names = docs.columns
+    new = [f"c{i}" for i in range(len(names))]
+
+    def back(df: DataFrame, **results: str) -> DataFrame:
+        own = [(n, c) for n, c in zip(names, new) if n not in results]
+        return df.select(*[c for _, c in own], *results.values()).toDF(*[n for n, _ in own], *results)
+
+    return docs.toDF(*new), [new[names.index(c)] for c in columns], back
+
+
 def texts(batch, column: str):
     """The column's values of an Arrow batch as str, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

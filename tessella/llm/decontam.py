@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TO_LOWER
+from .common import TO_LOWER, set_apart
 
 #: bytes.translate table: A-Z to a-z, every other ASCII character but 0-9 and a-z to a blank.
 NORMAL = bytes(x if x > 0x7F or 0x30 <= x <= 0x39 or 0x61 <= x <= 0x7A else 0x20 for x in TO_LOWER)
@@ -122,14 +122,16 @@ def n_hit() -> Column:
     return F.aggregate("__hits", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any hit, with their own columns."""
-    return scanned(docs, benchmark, **options).where(F.size("__hits") == 0).select(*[f"`{c}`" for c in docs.columns])
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents without any hit, with their own columns; a null text has none."""
+    rows, (text,), back = set_apart(docs, text)
+    return back(scanned(rows, benchmark, text=text, **options).where(F.size("__hits") == 0))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """All documents; in those with hits the text is its other words, normalised and joined by blanks."""
-    rows = scanned(docs, benchmark, text=text, **options)
+    """All documents; in those with hits the text is its other words, normalised and joined by blanks. A null text stays null."""
+    plain, (text,), back = set_apart(docs, text)
+    rows = scanned(plain, benchmark, text=text, **options)
 
     @F.pandas_udf("string")
     def cut(values, hits):
@@ -140,4 +142,4 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
 
         return values.combine(hits, one)
 
-    return rows.withColumn(text, F.when(F.size("__hits") > 0, cut(rows[text], rows["__hits"])).otherwise(rows[text])).select(*[f"`{c}`" for c in docs.columns])
+    return back(rows.withColumn(text, F.when(F.size("__hits") > 0, cut(rows[text], rows["__hits"])).otherwise(rows[text])))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import if_small, n_words, pinned
+from .common import if_small, n_words, pinned, set_apart
 
 KEY_BITS = 60
 #: Source tables of more rows than this are joined by a shuffle.
@@ -105,11 +105,14 @@ def taken(mixed: Mix) -> DataFrame:
     return rows.select(F.col("ident").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, ident: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """The documents with their own columns, each repeated as often as the mix takes it; the others go."""
-    mixed = mix(docs, ident=ident, source=source, **options)
-    names = [f"__mix_{x}" for x in ("source", "rounds", "threshold", "copy")]
-    plan = mixed.plan.select(F.col("source").alias(names[0]), F.col("rounds").alias(names[1]), F.col("threshold").alias(names[2]))
-    joined = docs.join(if_small(plan, mixed.sources, MAX_BROADCAST_SOURCES), same(docs[source], F.col(names[0])))
-    copies = F.col(names[1]) + (hash_key(docs[ident]) <= F.col(names[2])).cast("long")
-    return joined.withColumn(names[3], F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop(*names)
+def mixed_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The documents with their own columns, each repeated as often as the mix takes it; the others go.
+
+    A null source is one of its own, null ids share a key, documents without words come as often as their key says.
+    """
+    rows, (ident, text, source), back = set_apart(docs, ident, text, source)
+    mixed = mix(rows, ident=ident, text=text, source=source, **options)
+    plan = mixed.plan.select(F.col("source").alias("of"), "rounds", "threshold")
+    joined = rows.join(if_small(plan, mixed.sources, MAX_BROADCAST_SOURCES), same(F.col(source), F.col("of")))
+    copies = F.col("rounds") + (hash_key(F.col(ident)) <= F.col("threshold")).cast("long")
+    return back(joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))))

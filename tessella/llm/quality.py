@@ -14,24 +14,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, if_small, pinned, texts
+from .common import BLANKS, if_small, pinned, set_apart, texts
 
-ACCURACY = 0.01
+ACCURACY = 0.002
 GROWTH = (1 + ACCURACY) / (1 - ACCURACY)
-#: Groups of fewer documents take the thresholds of their language, or else those of all documents.
-MIN_GROUP = 100
+#: A group of n documents has a weight of n / (n + PRIOR) in its thresholds; the rest comes from its language, and likewise from all documents.
+PRIOR = 100
 MAX_BROADCAST_GROUPS = 100_000
 
 #: What a document counts, by name; then the ratios that are held against thresholds.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: ratio -> (side, fences: how many spreads beyond the quartile, least distance from the quartile).
-#: The least distance keeps a group in which nearly all values are equal from turning away ordinary documents.
+#: ratio -> (side, quantile, reach, tie): the limit lies `reach` times the way from the median to that quantile beyond it, on one side or on both.
+#: tie is what is added so that values that are all but equal to each other pass; it is far below the spread of real texts.
 RULES = {
-    "symbol_ratio": ("high", 3.0, 0.10),
-    "dup_line_ratio": ("high", 3.0, 0.40),
-    "repeat_ratio": ("high", 3.0, 0.35),
-    "mean_word_length": ("both", 4.0, 2.0),
+    "symbol_ratio": ("high", 0.90, 3.0, 0.02),
+    "dup_line_ratio": ("high", 0.98, 2.0, 0.02),
+    "repeat_ratio": ("high", 0.98, 3.0, 0.02),
+    "mean_word_length": ("both", 0.75, 8.0, 0.05),
 }
+QUANTILES = tuple(sorted({0.5, *(q for _, q, _, _ in RULES.values()), *(1 - q for side, q, _, _ in RULES.values() if side == "both")}))
 
 
 def count_text(text: str) -> tuple[int, ...]:
@@ -102,8 +103,8 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quantiles(sketches: DataFrame, by: list[str], at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """by..., rule, total and a column for each quantile (q25, ...)."""
+def quantiles(sketches: DataFrame, by: list[str], at: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """by..., rule, total and a column for each quantile (q50, ...)."""
     group = Window.partitionBy(*by, "rule")
     upto = F.sum("n").over(group.orderBy(F.col("bucket").asc_nulls_first()))
     middle = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.lit(2.0) * F.pow(F.lit(GROWTH), F.col("bucket")) / (GROWTH + 1))
@@ -112,21 +113,28 @@ def quantiles(sketches: DataFrame, by: list[str], at: tuple[float, ...] = (0.25,
     return rows.groupBy(*by, "rule").agg(F.max("total").alias("total"), *picks)
 
 
-def limits(quartiles: DataFrame, by: list[str]) -> DataFrame:
-    """by..., total, and an array of (low, high) in the order of RULES."""
-    rule = lambda k: F.coalesce(*[F.when(F.col("rule") == name, F.lit(v[k])) for name, v in RULES.items()])
-    spread = F.col("q75") - F.col("q25")
-    reach = F.greatest(rule(1) * spread, rule(2))
-    low = F.when(rule(0) == "both", F.col("q25") - reach).otherwise(F.lit(float("-inf")))
-    rows = quartiles.select(*by, "rule", "total", low.alias("low"), (F.col("q75") + reach).alias("high"))
-    return rows.groupBy(*by).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("rule") == name, F.struct("low", "high"))).alias(name) for name in RULES])
+def limits(found: DataFrame, by: list[str]) -> DataFrame:
+    """by..., total, and for each rule a struct of low (null: none) and high."""
+    q = lambda x: F.col(f"q{round(100 * x)}")
+    out = []
+    for name, (side, at, reach, tie) in RULES.items():
+        high = q(at) + reach * (q(at) - q(0.5)) + tie
+        low = q(1 - at) - reach * (q(0.5) - q(1 - at)) - tie if side == "both" else F.lit(None).cast("double")
+        out.append(F.max(F.when(F.col("rule") == name, F.struct(low.alias("low"), high.alias("high")))).alias(name))
+    return found.groupBy(*by).agg(F.max("total").alias("total"), *out)
+
+
+def blended(n: Column, own: str, other: Column) -> Column:
+    """The limits of a group of n documents, drawn towards those of a wider one."""
+    weight = n / (n + PRIOR)
+    return F.struct(*[(weight * F.col(f"{own}.{x}") + (1 - weight) * other[x]).alias(x) for x in ("low", "high")])
 
 
 def thresholds(counts: DataFrame, lang: str, source: str) -> DataFrame:
     """lang, source and (low, high) by rule, for every pair of the two that occurs.
 
     Only documents that pass the base rules are sketched. The sketches of a source merge into its
-    language's and those into the whole corpus's, so the fallbacks need no second reading.
+    language's and those into the whole corpus's, so the wider limits need no second reading.
     """
     by = ["lang", "source"]
     values = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), value.alias("value")) for name, value in ratios().items()]))
@@ -137,9 +145,9 @@ def thresholds(counts: DataFrame, lang: str, source: str) -> DataFrame:
     wide = limits(quantiles(langs, ["lang"]), ["lang"])
     whole = limits(quantiles(merge(langs, []), []), [])
     wide = wide.select(F.col("lang").alias("wide_lang"), F.col("total").alias("wide_total"), *[F.col(r).alias(f"wide_{r}") for r in RULES])
-    whole = whole.select(F.col("total").alias("whole_total"), *[F.col(r).alias(f"whole_{r}") for r in RULES])
+    whole = whole.select(*[F.col(r).alias(f"whole_{r}") for r in RULES])
     joined = fine.join(wide, F.col("lang").eqNullSafe(F.col("wide_lang"))).join(F.broadcast(whole))  # whole: one row
-    choose = lambda r: F.when(F.col("total") >= MIN_GROUP, F.col(r)).when(F.col("wide_total") >= MIN_GROUP, F.col(f"wide_{r}")).otherwise(F.col(f"whole_{r}"))
+    choose = lambda r: blended(F.col("total"), r, blended(F.col("wide_total"), f"wide_{r}", F.col(f"whole_{r}")))
     return joined.select("lang", "source", *[choose(r).alias(r) for r in RULES])
 
 
@@ -148,7 +156,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
     A document is kept if it passes the base rules and each of its ratios lies within the thresholds of
     its language and source. A null text counts as empty and fails; null languages and sources are groups
-    of their own; an empty table gives an empty table; repeated rows are judged alike.
+    of their own; an empty table gives an empty table; repeated rows are judged alike. Columns of docs whose names begin
+    with two underscores may meet ours: kept_documents has no such limit.
     """
     # The counts are made twice, once for the sketches and once for the verdict: that is cheaper than moving whole texts.
     limit_rows = pinned(thresholds(counted(docs, text, keep=[lang, source]), lang, source))
@@ -158,11 +167,12 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     joined = rows.join(limit_rows, rows[lang].eqNullSafe(F.col("__limit_lang")) & rows[source].eqNullSafe(F.col("__limit_source")), "left")
     within = F.lit(True)
     for name, value in ratios().items():
-        within = within & F.coalesce(value.between(F.col(f"__limit_{name}.low"), F.col(f"__limit_{name}.high")), F.lit(True))
+        within = within & F.coalesce(value >= F.col(f"__limit_{name}.low"), F.lit(True)) & F.coalesce(value <= F.col(f"__limit_{name}.high"), F.lit(True))
     failed = base_failed()
     return joined.withColumn("__base_failed", failed).withColumn("__kept", ~failed & within).drop(*names.values())
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return judged(docs, **options).where("__kept").select(*[f"`{c}`" for c in docs.columns])
+def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The documents that the rules keep, with their own columns, whatever their names."""
+    rows, names, back = set_apart(docs, text, lang, source)
+    return back(judged(rows, *names).where("__kept"))

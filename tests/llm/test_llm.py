@@ -92,10 +92,75 @@ def test_quality_against_labels(spark):
     assert kept.get((0, True), 0) < 0.1 * (kept.get((0, False), 0) + kept.get((0, True), 0))
 
 
+def exact_limits(values, rule):
+    """Limits of one rule from all values of a group, by exact quantiles, and the error that the sketch may have."""
+    side, at, reach, tie = quality.RULES[rule]
+    values = sorted(values)
+    q = lambda x: values[max(0, math.ceil(x * len(values)) - 1)]
+    high = q(at) + reach * (q(at) - q(0.5)) + tie
+    low = q(1 - at) - reach * (q(0.5) - q(1 - at)) - tie if side == "both" else -math.inf
+    return low, high, 1.1 * quality.ACCURACY * (q(at) + reach * (q(at) + q(0.5)))
+
+
+def test_quality_by_exact_quantiles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = {r["doc_id"]: (r["lang"], r["source"], quality.count_text(r["text"] or "")) for r in docs.collect()}
+    groups = defaultdict(lambda: defaultdict(list))
+    value = {}
+    for i, (lang, source, (n, chars, symbols, n_lines, dup, rep)) in counts.items():
+        if n >= 50 and 100 * rep <= 50 * n:
+            value[i] = {"symbol_ratio": symbols / n, "dup_line_ratio": dup / n_lines, "repeat_ratio": rep / n, "mean_word_length": chars / n}
+            for g in ((lang, source), (lang,), ()):
+                for rule, x in value[i].items():
+                    groups[g][rule].append(x)
+    got = {r["doc_id"]: r["__kept"] for r in quality.judged(docs).collect()}
+    sure = 0
+    for i, (lang, source, _) in counts.items():
+        if i not in value:
+            assert not got[i]
+            continue
+        verdict = []
+        for rule, x in value[i].items():
+            low, high, error = exact_limits(groups[()][rule], rule)
+            for g in ((lang,), (lang, source)):
+                w = len(groups[g][rule]) / (len(groups[g][rule]) + quality.PRIOR)
+                own = exact_limits(groups[g][rule], rule)
+                low, high, error = (w * a + (1 - w) * b if math.isfinite(b) else b for a, b in zip(own, (low, high, error)))
+            verdict.append(None if min(abs(x - low), abs(x - high)) <= error else low <= x <= high)
+        if False in verdict or None not in verdict:
+            sure += 1
+            assert got[i] == (False not in verdict), (i, verdict)
+    assert sure > 0.9 * len(counts)
+
+
+def test_limits_follow_the_source(spark):
+    """A share of symbols that is usual in one source and not in another."""
+    plain = [(i, " ".join(f"word{chr(97 + (i * 7 + k * k) % 26)}{(i + k) % 90}" for k in range(80)), "en", "prose") for i in range(300)]
+    code = [(1000 + i, " ".join(("# " if (i + k) % (5 + i % 4) == 0 else "") + f"word{chr(97 + (i * 3 + k * k) % 26)}{(i + k) % 90}" for k in range(80)), "en", "code") for i in range(300)]
+    odd = " ".join(("# " if k % 7 == 0 else "") + f"word{chr(97 + (k * k) % 26)}{k % 90}" for k in range(80))
+    rows = spark.createDataFrame([*plain, *code, (5000, odd, "en", "prose"), (5001, odd, "en", "code")], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality.kept_documents(rows).collect()}
+    assert 5001 in kept and 5000 not in kept and len(kept) > 590
+    found = {r["source"]: r["symbol_ratio"]["high"] for r in quality.thresholds(quality.counted(rows), "lang", "source").collect()}
+    assert found["code"] > 2 * found["prose"]
+
+
+def test_names_of_ours_may_be_theirs(spark, edge):
+    """Columns of documents that have the names that operators use inside."""
+    names = ("__text", "__counts", "__kept", "__base_failed", "__hits", "__items", "__n_words", "__ident", "__once", "__keys", "__lines", "__row", "c0", "c1", "copy", "rounds", "of")
+    rows = edge.withColumns({c: F.lit(1) for c in names})
+    bench = spark.createDataFrame([(1, "five six seven")], "item_id long, text string")
+    assert quality.kept_documents(rows).columns == rows.columns and mixing.mixed_documents(rows).columns == rows.columns
+    assert decontam.clean_documents(rows, bench).columns == rows.columns and decontam.without_spans(rows, bench).columns == rows.columns
+    assert {r["__hits"] for r in decontam.clean_documents(rows, bench).collect()} == {1}
+    assert simhash.first_documents(rows).columns == rows.columns
+    assert lines.deduped(rows).columns == [*(c for c in rows.columns if c != "__kept"), "__n_lines", "__n_dropped", "__kept"]
+
+
 def test_sketches_merge(spark):
     rows = spark.range(5000).select((F.col("id") % 2).alias("g"), F.lit("r").alias("rule"), (F.col("id") + 1.0).alias("value"))
     merged = quality.quantiles(quality.merge(quality.sketch(rows, ["g"]), []), []).first()
-    for q in (25, 50, 75):
+    for q in (25, 50, 75, 90, 98):
         assert merged[f"q{q}"] == pytest.approx(50 * q, rel=0.011)
 
 
