@@ -66,11 +66,6 @@ def n_words(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def own_columns(df: DataFrame) -> list[Column]:
-    """All columns of df, whatever their names."""
-    return [df[f"`{c}`"] for c in df.columns]
-
-
 def set_apart(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str], Callable[..., DataFrame]]:
     """docs under the names c0, c1, ..., so that no name of its own meets one of ours; the new names of some columns; and the way
     back, which keeps the columns of docs and, under the names given, some results; these take the place of columns of docs of the same name."""

@@ -78,7 +78,7 @@ def slices(benchmark: DataFrame, item: str, text: str, max_bytes: int) -> list[D
     return [rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", item: str = "item_id", max_slice_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
+def scanned(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", max_slice_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
     """docs with __n_words, __hits (spans of hit words, start and end) and __items (items found, sorted).
 
     A window is `width` consecutive words of an item, or all words of a shorter one. Null texts have no
@@ -88,7 +88,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str =
     """
     extra = [("__n_words", T.LongType()), ("__hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("__items", T.ArrayType(T.StringType()))]
     out = docs
-    for k, part in enumerate(slices(benchmark, item, text, max_slice_bytes)):
+    for k, part in enumerate(slices(benchmark, item, item_text, max_slice_bytes)):
         items = [(r["item"] or "", r["text"]) for r in part.collect()]  # within max_slice_bytes
         shared = docs.sparkSession.sparkContext.broadcast(Index(items, width))
         fields = docs.schema.fields

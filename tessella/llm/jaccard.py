@@ -1,24 +1,24 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: prefix filter, verified links, components.
+"""Exact Jaccard similarity of word shingles for near-duplicates: every link checked, and none missed.
 
 A document is the set of its hashed shingles; equal sets are one node. All sets order their shingles alike, rare ones
 first. Two sets of similarity p / q or more then share a shingle among the first n - ceil(n p / q) + 1 of either, so
-the pairs that meet at such a shingle hold every link. Parity bitmaps (a shingle flips one bit) differ in no more bits than
-the sets do in shingles and drop most other pairs without losing a link. What is left is compared whole, by joins: first
-a forest of the pairs at each shingle, then all pairs that its components leave apart.
+the pairs that meet at such a shingle hold every link. Only shingles that hold nodes of different groups are looked at. Parity
+bitmaps (a shingle flips one bit) differ in no more bits than the sets do in shingles and drop most other pairs without
+losing a link. What is left is compared whole, by joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, first_rows, if_small, numbered, pinned
-from .simhash import components, roots
+from .common import TO_LOWER, if_small, pinned
 
 #: 64-bit words of a parity bitmap, slots of the table of frequent shingles, and the documents that it is counted on.
 BITS = 16
@@ -27,7 +27,7 @@ SAMPLE = 50_000
 STEP = 1 << 17
 FEW = 1_000_000
 
-NODE = "__row bigint, sig bigint, n int, bits array<bigint>"
+NODE = "__row bigint, sig bigint, n int, fp bigint, bits array<bigint>"
 
 
 # Sets
@@ -82,8 +82,8 @@ def slot_counts(rows: DataFrame, text: str, width: int) -> np.ndarray:
     return often
 
 
-def sets(rows: DataFrame, text: str, width: int, least: Fraction) -> DataFrame:
-    """__row, sig (a hash of the set), n, bits and the prefix of every numbered row."""
+def sets(rows: DataFrame, text: str, width: int, least: Fraction, votes: Callable[[np.ndarray], int]) -> DataFrame:
+    """__row, sig (a hash of the set), n, fp (votes of its hashes; 0 if it is empty), bits and the prefix of every numbered row."""
     often = rows.sparkSession.sparkContext.broadcast(slot_counts(rows, text, width))
 
     def run(batches):
@@ -92,8 +92,8 @@ def sets(rows: DataFrame, text: str, width: int, least: Fraction) -> DataFrame:
             sig = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in every], np.uint64).view(np.int64)
             heads = [prefix(h, often.value, least).view(np.int64) for h in every]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__row"), pa.array(sig), pa.array([len(h) for h in every], pa.int32()), lists([bitmap(h) for h in every]), lists(heads)],
-                names=["__row", "sig", "n", "bits", "prefix"],
+                [batch.column("__row"), pa.array(sig), pa.array([len(h) for h in every], pa.int32()), pa.array([votes(h) if len(h) else 0 for h in every], pa.int64()), lists([bitmap(h) for h in every]), lists(heads)],
+                names=["__row", "sig", "n", "fp", "bits", "prefix"],
             )
 
     return rows.select("__row", rows[f"`{text}`"].alias("text")).mapInArrow(run, NODE + ", prefix array<bigint>")
@@ -107,33 +107,20 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
 # Pairs
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Places of links a[i] - b[i] that join the same components of n nodes as all do, and form no circle."""
-    label, at, kept = np.arange(n), np.arange(len(a)), [np.zeros(0, np.int64)]
-    while True:
-        x, y = label[a[at]], label[b[at]]
-        at, x, y = at[x != y], x[x != y], y[x != y]
-        if not len(at):
-            return np.concatenate(kept)
-        # Each label takes one link to a smaller one.
-        _, first = np.unique(np.maximum(x, y), return_index=True)
-        kept.append(at[first])
-        label = roots(n, x[first], y[first])[label]
-
-
-def near_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray, group: np.ndarray, least: Fraction, only_forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs inside a group (rows are sorted by it), with different labels, whose sizes and bitmaps allow the similarity."""
+def near_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray, group: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs inside a group, with different labels, whose sizes and bitmaps allow the similarity. Rows are sorted by group and label."""
     p, q = least.numerator, least.denominator
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
-    def checked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fits = (label[i] != label[j]) & (p * np.maximum(n[i], n[j]) <= q * np.minimum(n[i], n[j]))
+    def check(i: np.ndarray, j: np.ndarray) -> None:
+        fits = p * np.maximum(n[i], n[j]) <= q * np.minimum(n[i], n[j])
         i, j = i[fits], j[fits]
         differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
         fits = differ * (p + q) <= (n[i] + n[j]) * (q - p)
-        return i[fits], j[fits]
+        found.append((i[fits], j[fits]))
 
+    new = np.concatenate([[True], group[1:] != group[:-1], [True]])
+    edges = np.flatnonzero(new)
     sizes = np.diff(edges)
     few = np.flatnonzero(np.repeat(sizes <= 32, sizes))
     for step in range(1, 32):
@@ -141,28 +128,29 @@ def near_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray, group: np.nda
         same = group[i] == group[j]
         if not same.any():
             break
-        found.append(checked(i[same], j[same]))
-    for start, size in zip(edges[:-1][sizes > 32].tolist(), sizes[sizes > 32].tolist()):
-        if (label[start : start + size] == label[start]).all():
+        same &= label[i] != label[j]
+        check(i[same], j[same])
+    # In large groups the rows of each label meet those of the labels behind it, never each other.
+    runs = np.flatnonzero(new | np.concatenate([[True], label[1:] != label[:-1], [True]]))
+    end_of = np.repeat(edges[1:], sizes)
+    for a, b in zip(runs[:-1].tolist(), runs[1:].tolist()):
+        end = int(end_of[a])
+        if end - edges[np.searchsorted(edges, a, "right") - 1] <= 32 or b == end:
             continue
-        step = max(1, STEP // size)
-        parts = []
-        for k in range(0, size, step):
-            i, j = np.divmod(np.arange(k * size, min(k + step, size) * size), size)
-            i, j = checked(start + i[i < j], start + j[i < j])
-            if only_forest:
-                at = forest(i, j, len(n)) if len(i) else i
-                i, j = i[at], j[at]
-            parts.append((i, j))
-        i, j = (np.concatenate(x) for x in zip(*parts))
-        found.append((i, j))
+        step = max(1, STEP // (end - b))
+        for k in range(a, b, step):
+            i, j = np.divmod(np.arange((min(k + step, b) - k) * (end - b)), end - b)
+            check(k + i, b + j)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def candidates(shared: DataFrame, nodes: DataFrame, least: Fraction, only_forest: bool) -> DataFrame:
-    """u, v: pairs of nodes (sig, n, bits, label) with different labels that meet at a shingle (shared: token, sig)."""
-    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = shared.join(nodes, "sig").select("token", "sig", "n", "bits", "label").repartition(parts, "token").sortWithinPartitions("token", "sig")
+def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
+    """u, v: pairs of nodes (sig, n, bits, prefix, label) with different labels that meet at a shingle of their prefixes."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed = nodes.select(F.explode("prefix").alias("token"), "label").groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+    mixed = pinned(mixed)
+    shared = pinned(nodes.select(F.explode("prefix").alias("token"), "sig").join(if_small(mixed, mixed.count(), FEW), "token", "left_semi"))
+    dealt = shared.join(nodes, "sig").select("token", "sig", "n", "bits", "label").repartition(parts, "token").sortWithinPartitions("token", "label", "sig")
 
     def run(batches):
         held = None
@@ -181,7 +169,7 @@ def candidates(shared: DataFrame, nodes: DataFrame, least: Fraction, only_forest
             return
         token, sig, n, label = (table.column(c).to_numpy() for c in ("token", "sig", "n", "label"))
         bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sig), BITS)
-        i, j = near_pairs(n.astype(np.int64), bits, label, token, least, only_forest)
+        i, j = near_pairs(n.astype(np.int64), bits, label, token, least)
         if len(i):
             pairs = np.unique(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
@@ -196,7 +184,7 @@ def similar(size_a: Column, size_b: Column, both: Column, least: Fraction) -> Co
 
 def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, text: str, width: int, least: Fraction) -> DataFrame:
     """The pairs (u, v) whose whole sets have the similarity; holders has one row (__row) of each sig."""
-    wanted = pinned(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(holders, "sig"))
+    wanted = pinned(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(holders.select("sig", "__row"), "sig"))
     of = rows.select("__row", rows[f"`{text}`"].alias("text")).join(if_small(wanted, wanted.count(), FEW), "__row").select("sig", "text")
 
     def run(batches):
@@ -207,31 +195,3 @@ def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, text: str, w
     full = pinned(of.mapInArrow(run, "sig bigint, set array<bigint>"))
     met = pairs.join(full.select(F.col("sig").alias("u"), F.col("set").alias("a")), "u").join(full.select(F.col("sig").alias("v"), F.col("set").alias("b")), "v")
     return met.where(similar(F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b")), least)).select("u", "v")
-
-
-# Components
-
-
-def clustered(rows: DataFrame, width: int = 5, least: float = 0.8, text: str = "text") -> DataFrame:
-    """__row and group of every numbered row: rows are in one group if links of that similarity or more join them."""
-    share = Fraction(least).limit_denominator(1000)
-    every = pinned(sets(rows, text, width, share))
-    nodes = pinned(every.groupBy("sig").agg(F.min("__row").alias("__row"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    met = every.select(F.explode("prefix").alias("token"), "sig").distinct()
-    counted = met.repartition("token").withColumn("c", F.count("*").over(Window.partitionBy("token")))
-    shared = pinned(counted.where("c > 1").select("token", "sig"))
-    holders = nodes.select("sig", "__row")
-
-    alone = nodes.withColumn("label", F.col("sig"))
-    links = pinned(verified(pinned(candidates(shared, alone, share, True)), rows, holders, text, width, share))
-    found = components(links)
-    apart = pinned(nodes.join(found, F.col("sig") == F.col("node"), "left").select("sig", "n", "bits", F.coalesce("label", "sig").alias("label")))
-    rest = verified(pinned(candidates(shared, apart, share, False)), rows, holders, text, width, share)
-    found = components(pinned(links.unionByName(rest)))
-    return every.select("__row", "sig").join(found, F.col("sig") == F.col("node"), "left").select("__row", F.coalesce("label", "sig").alias("group"))
-
-
-def first_documents(docs: DataFrame, width: int = 5, least: float = 0.8, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id (nulls last), with its own columns."""
-    rows = numbered(docs)
-    return first_rows(rows, clustered(rows, width, least, text), ident)

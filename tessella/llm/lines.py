@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, if_small, own_columns, pinned
+from .common import BLANKS, ascii_lower, if_small, pinned, set_apart
 
 FANOUT = 3
+#: Batches of a table that is deduped at once: enough for runs of the third level.
+BATCHES = FANOUT**2
 MAX_BROADCAST_KEYS = 100_000
 
 
@@ -73,30 +75,30 @@ class LineIndex:
                 self.levels[k + 1].append(run)
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The keys (hashes) of the lines that min_docs documents or more hold, by way of a LineIndex fed in batches."""
+def frequent_lines(hashed: DataFrame, min_docs: int = 10, batches: int = BATCHES) -> DataFrame:
+    """The keys that min_docs rows or more of hashed (ident, keys: an array without repeats) hold, by way of a LineIndex fed in batches."""
     index = LineIndex(min_docs)
     for k in range(batches):
-        batch = docs.where(F.pmod(F.xxhash64(docs[ident]), F.lit(batches)) == k)
-        index.add(batch.select(F.explode(key_hashes(docs[text], min_chars)).alias("key")))
+        batch = hashed.where(F.pmod(F.xxhash64("ident"), F.lit(batches)) == k)
+        index.add(batch.select(F.explode("keys").alias("key")))
     return pinned(index.frequent())
 
 
-def deduped(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with __n_lines, __n_dropped and __kept (the text of the lines that stay).
+def deduped(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with __n_lines, __n_dropped and __kept (the text of the lines that stay), in place of columns of those names.
 
     A line goes from every document if its key is long enough and min_docs documents hold it. A null or empty
     text is one empty line. An empty table gives an empty table. Repeated rows are documents of their own. Keys are compared by 64-bit hashes.
     """
-    frequent = frequent_lines(docs, min_docs, min_chars, batches, ident, text)
+    rows, (ident, text), back = set_apart(docs, ident, text)
+    hashed = pinned(rows.select(F.col(ident).alias("ident"), key_hashes(F.col(text), min_chars).alias("keys")).where(F.size("keys") > 0))
+    frequent = frequent_lines(hashed, min_docs, batches)
     some = if_small(frequent, frequent.count(), MAX_BROADCAST_KEYS)
-    found = docs.select(docs[ident].alias("__ident"), F.explode(key_hashes(docs[text], min_chars)).alias("key"))
-    hits = found.join(some, "key", "left_semi").groupBy("__ident").agg(F.collect_set("key").alias("__keys"))
-    rows = docs.join(hits, docs[ident].eqNullSafe(hits["__ident"]), "left")
-    lines = line_array(docs[text])
-    stays = lambda line: ~(F.array_contains(F.col("__keys"), F.xxhash64(line_key(line))) & (F.length(line_key(line)) >= min_chars))
-    kept = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, stays))
-    rows = rows.withColumn("__lines", kept)
-    dropped = F.size(lines) - F.size("__lines")
+    hits = hashed.select("ident", F.explode("keys").alias("key")).join(some, "key", "left_semi").groupBy("ident").agg(F.collect_set("key").alias("keys"))
+    rows = rows.join(hits, F.col(ident).eqNullSafe(F.col("ident")), "left")
+    lines = line_array(F.col(text))
+    stays = lambda line: ~(F.array_contains("keys", F.xxhash64(line_key(line))) & (F.length(line_key(line)) >= min_chars))
+    rows = rows.withColumn("lines", F.when(F.col("keys").isNull(), lines).otherwise(F.filter(lines, stays)))
+    rows = rows.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("lines")).cast("long"), "kept": F.array_join("lines", "\n")})
     # No lines left at all and one empty line both give the empty text.
-    return rows.select(*own_columns(docs), F.size(lines).cast("long").alias("__n_lines"), dropped.cast("long").alias("__n_dropped"), F.array_join("__lines", "\n").alias("__kept"))
+    return back(rows, __n_lines="n_lines", __n_dropped="n_dropped", __kept="kept")

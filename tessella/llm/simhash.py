@@ -9,6 +9,7 @@ tree prunes by the same bound. A shard gives a spanning forest of its links, nev
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +18,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, first_rows, numbered, pinned
+from . import jaccard
+from .common import TO_LOWER, first_rows, numbered, pinned, release, set_apart
+from .graph import components, roots
 
 LEAF = 256
 SMALL = 32
@@ -36,7 +39,12 @@ def fingerprint(text: str | None, width: int) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], np.uint64)
+    return votes(np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], np.uint64))
+
+
+def votes(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit integer."""
+    n = len(hashes)
     # Eight byte lanes are added at once; a lane holds up to 255 rows.
     lanes = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").view(np.uint64)
     ones = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
@@ -59,20 +67,6 @@ def fingerprints(docs: DataFrame, width: int = 4, ident: str = "doc_id", text: s
 # Links inside one shard
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index of the component of each of n nodes, for links a[i] - b[i]."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def tree_links(points: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (pairs of indices) that join the same components as all pairs within r bits do.
 
@@ -200,36 +194,6 @@ def links(fps: DataFrame, r: int = 4) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of its component, for every node of the edges (u, v).
-
-    Alternating large and small stars (Kiveris et al., 2014): each round is two groupings with partial
-    aggregation and two joins, and components of any shape take O(log^2 n) rounds.
-    """
-
-    def oriented(rows: DataFrame) -> DataFrame:
-        return rows.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    def state(rows: DataFrame) -> tuple:
-        return tuple(rows.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    edges = pinned(oriented(edges))
-    before = state(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = pinned(oriented(large))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = pinned(oriented(small))
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-
-
 def clustered(docs: DataFrame, width: int = 4, r: int = 4, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """ident, fp and component_id (the smallest ident that links reach) of every document.
 
@@ -246,14 +210,33 @@ def clustered(docs: DataFrame, width: int = 4, r: int = 4, ident: str = "doc_id"
     return prints.join(by_print, "fp").select("ident", "fp", "component_id")
 
 
-def first_documents(docs: DataFrame, width: int = 5, r: int = 4, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id (nulls last), with its own columns.
+def first_documents(docs: DataFrame, width: int = 5, least: float = 0.8, r: int = 4, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id (nulls last), with its own columns.
 
-    Rows are told apart by a row id of their own, so different texts without an id, or under one id, all stay.
+    Two documents are linked if their sets of shingles have a Jaccard similarity of at least `least`; a group is what links join.
+    Fingerprints within r bits give most links cheaply, and each is held against the whole sets. A fingerprint of 64
+    bits cannot promise a similarity, so the pairs that these groups leave apart are then sought by shared rare shingles, which misses none.
+    Texts without words are one group; rows are told apart by a row id of their own, so different texts without an id, or
+    under one id, all stay; an empty table gives an empty table.
     """
-    rows = numbered(docs)
-    groups = clustered(rows, width, r, "__row", text)
-    return first_rows(rows, groups.select(F.col("ident").alias("__row"), F.col("component_id").alias("group")), ident)
+    rows, (ident, text), back = set_apart(docs, ident, text)
+    rows = numbered(rows)
+    share = Fraction(least).limit_denominator(1000)
+    every = pinned(jaccard.sets(rows, text, width, share, votes))
+    nodes = pinned(every.groupBy("sig").agg(F.min(F.struct("__row", "n", "bits", "prefix", "fp")).alias("x")).select("sig", "x.*"))
+    heads = pinned(nodes.groupBy("fp").agg(F.min("sig").alias("head")))
+    found = links(heads.select("fp"), r)
+    near = found.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = nodes.join(heads, "fp").where("sig <> head").select(F.col("sig").alias("u"), F.col("head").alias("v"))
+    near = pinned(jaccard.verified(pinned(near.unionByName(same)), rows, nodes, text, width, share))
+    release(rows.sparkSession)
+    labelled = pinned(nodes.join(components(near), F.col("sig") == F.col("node"), "left").select("sig", "__row", "n", "bits", "prefix", F.coalesce("label", "sig").alias("label")))
+    rest = jaccard.verified(pinned(jaccard.candidates(labelled, share)), rows, nodes, text, width, share)
+    labels = components(pinned(near.unionByName(rest)))
+    groups = every.select("__row", "sig").join(labels, F.col("sig") == F.col("node"), "left").select("__row", F.coalesce("label", "sig").alias("group"))
+    out = first_rows(rows, groups, ident)
+    release(rows.sparkSession)
+    return back(out)
 
 
 def as_hex(fp: Column) -> Column:
