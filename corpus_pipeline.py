@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, jaccard, mixing, quality, store
+from tessella.llm import decontam, mixing, quality, simhash, store
 from tessella.llm.common import new_dir, table
 
 
@@ -15,7 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: Jaccard similarity of 0.8 or more on five-word shingles."""
-    return jaccard.first_documents(docs, width=5, least=0.8)
+    return simhash.first_documents(docs, width=5, least=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
