@@ -34,6 +34,7 @@ def to_least(rows: DataFrame, least: DataFrame, links: int) -> DataFrame:
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hubs = F.broadcast(least.where(F.col("c") > max(HUB, links // (8 * parts))).select("u", "m"))
+    # The same grouping feeds both sides, so Spark computes it once.
     at_hubs = rows.join(hubs, "u").select("u", "v", "m")
     return rows.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u").select("u", "v", "m").unionByName(at_hubs)
 
@@ -55,10 +56,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = pinned(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
         large = to_least(both, least, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = pinned(oriented(large))
-        least = pinned(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
         small = to_least(large, least, 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = pinned(oriented(small))
         after = state(edges)

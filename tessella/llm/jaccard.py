@@ -15,7 +15,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TO_LOWER, if_small, pinned
@@ -23,7 +23,8 @@ from .common import TO_LOWER, if_small, pinned
 #: 64-bit words of a parity bitmap, slots of the table of frequent shingles, and the documents that it is counted on.
 BITS = 16
 SLOTS = 20
-SAMPLE = 50_000
+SAMPLE = 5_000
+FEW_TIMES = 8
 STEP = 1 << 17
 FEW = 1_000_000
 
@@ -64,19 +65,17 @@ def prefix(hashes: np.ndarray, often: np.ndarray, least: Fraction) -> np.ndarray
 
 
 def slot_counts(rows: DataFrame, text: str, width: int) -> np.ndarray:
-    """How many documents of a sample have a shingle in each slot. It only orders shingles: any table gives the same links."""
+    """How many documents of a sample have a shingle in each slot, where they are more than FEW_TIMES. It only orders shingles: any table gives the same links."""
     share = max(1, rows.count() // SAMPLE)
     sample = rows.where(F.pmod(F.xxhash64("__row"), F.lit(share)) == 0).select(rows[f"`{text}`"].alias("text"))
 
     def run(batches):
-        total = np.zeros(1 << SLOTS, np.int64)
         for batch in batches:
-            for x in batch.column("text").to_pylist():
-                np.add.at(total, (shingles(x, width) >> np.uint64(64 - SLOTS)).astype(np.int64), 1)
-        at = np.flatnonzero(total > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+            every = [shingles(x, width) for x in batch.column("text").to_pylist()]
+            at, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]) >> np.uint64(64 - SLOTS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["slot", "n"])
 
-    found = sample.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 2").toArrow()
+    found = sample.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > FEW_TIMES).toArrow()  # a row a slot at most
     often = np.zeros(1 << SLOTS, np.int32)
     often[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 1 << 30)
     return often
@@ -177,21 +176,23 @@ def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def similar(size_a: Column, size_b: Column, both: Column, least: Fraction) -> Column:
-    """Whether both / (size_a + size_b - both) is at least the similarity, in whole numbers."""
-    return both * (least.numerator + least.denominator) >= (size_a + size_b) * least.numerator
-
-
 def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, text: str, width: int, least: Fraction) -> DataFrame:
     """The pairs (u, v) whose whole sets have the similarity; holders has one row (__row) of each sig."""
     wanted = pinned(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(holders.select("sig", "__row"), "sig"))
     of = rows.select("__row", rows[f"`{text}`"].alias("text")).join(if_small(wanted, wanted.count(), FEW), "__row").select("sig", "text")
+    p, q = least.numerator, least.denominator
 
     def run(batches):
+        last = known = None
         for batch in batches:
-            every = [shingles(x, width).view(np.int64) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), lists(every)], names=["sig", "set"])
-
-    full = pinned(of.mapInArrow(run, "sig bigint, set array<bigint>"))
-    met = pairs.join(full.select(F.col("sig").alias("u"), F.col("set").alias("a")), "u").join(full.select(F.col("sig").alias("v"), F.col("set").alias("b")), "v")
-    return met.where(similar(F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b")), least)).select("u", "v")
+            good = []
+            for u, v, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "a", "b"))):
+                if v != last:  # rows of one v come together
+                    last, known = v, shingles(b, width)
+                other = shingles(a, width)
+                both = len(np.intersect1d(known, other, assume_unique=True))
+                good.append(both * (p + q) >= (len(known) + len(other)) * p)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    met = pairs.join(of.select(F.col("sig").alias("u"), F.col("text").alias("a")), "u").join(of.select(F.col("sig").alias("v"), F.col("text").alias("b")), "v")
+    return met.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")

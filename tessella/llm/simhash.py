@@ -223,17 +223,22 @@ def first_documents(docs: DataFrame, width: int = 5, least: float = 0.8, r: int
     rows = numbered(rows)
     share = Fraction(least).limit_denominator(1000)
     every = pinned(jaccard.sets(rows, text, width, share, votes))
-    nodes = pinned(every.groupBy("sig").agg(F.min(F.struct("__row", "n", "bits", "prefix", "fp")).alias("x")).select("sig", "x.*"))
+    nodes = pinned(every.groupBy("sig").agg(F.min(F.struct("__row", "fp")).alias("x")).select("sig", "x.*"))
     heads = pinned(nodes.groupBy("fp").agg(F.min("sig").alias("head")))
     found = links(heads.select("fp"), r)
     near = found.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = nodes.join(heads, "fp").where("sig <> head").select(F.col("sig").alias("u"), F.col("head").alias("v"))
     near = pinned(jaccard.verified(pinned(near.unionByName(same)), rows, nodes, text, width, share))
     release(rows.sparkSession)
-    labelled = pinned(nodes.join(components(near), F.col("sig") == F.col("node"), "left").select("sig", "__row", "n", "bits", "prefix", F.coalesce("label", "sig").alias("label")))
+    labels = nodes.join(components(near), F.col("sig") == F.col("node"), "left").select("__row", F.coalesce("label", "sig").alias("label"))
+    labelled = pinned(every.select("__row", "sig", "n", "bits", "prefix").join(labels, "__row"))
+    every = pinned(every.select("__row", "sig"))
+    release(rows.sparkSession)
     rest = jaccard.verified(pinned(jaccard.candidates(labelled, share)), rows, nodes, text, width, share)
     labels = components(pinned(near.unionByName(rest)))
-    groups = every.select("__row", "sig").join(labels, F.col("sig") == F.col("node"), "left").select("__row", F.coalesce("label", "sig").alias("group"))
+    del labelled
+    release(rows.sparkSession)
+    groups = every.join(labels, F.col("sig") == F.col("node"), "left").select("__row", F.coalesce("label", "sig").alias("group"))
     out = first_rows(rows, groups, ident)
     release(rows.sparkSession)
     return back(out)
