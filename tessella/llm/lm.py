@@ -5,7 +5,8 @@ frequent words, whose leaves are in the order of the reversed spelling, so that
 branches. The first LEVELS decisions are mixed; below them a word has a fixed share of its branch. Several bit
 predictors look up hashed contexts (branches or words before this one) in tables of counts from all training documents; a
 mixer adds their logits with weights that a gate picks by level and by how much the contexts have seen. A
-document starts with weights fitted on a sample and refines them as it goes, segment by segment. Words
+document starts with the same weights by gate and refines them as it goes, segment by segment. Nothing is fitted on a
+sample or in an order, so a score depends on the counts and on its own text only, not on the layout of the table. Words
 outside the tree take its escape leaf and are spelled by interpolated letter 4-grams.
 So the score is a probability of the whole text, and gives its bits per byte.
 """
@@ -38,15 +39,19 @@ INPUTS = len(TABLE_BITS) + 2
 GATES = LEVELS * 4 * 4
 #: A gate is 16 times the level, plus the trust in two of the tables, by these factors.
 GATED = {1: 4, 2: 1}
+# The weights that every document starts with, by the trust (0 to 3) in the table that gates them.
+ROOT_START = (0.35, 0.2, 0.0, 0.1)
+BRANCH_START = (0.5, 0.5, 0.3, 0.35)
+TWO_BRANCH_START = (0.3, 0.2, 0.45, 0.4)
+WORD_START = (0.3, 0.3, 0.5, 0.45)
+COARSE_START = (0.3, 0.25, 0.35, 0.4)
 GATE_OF_NODE = np.array([16 * max(0, n.bit_length() - 1) for n in range(BRANCHES)])
 SEGMENT = 32
-RATE = 0.02
+RATE = 0.1
 #: Words that are scored or counted at a time: their arrays fit into a core's cache.
 CHUNK_WORDS = 25_000
 #: Slots to gather before they are added up.
 COUNT_EVENTS = 1_000_000
-#: The mixing weights are fitted on about so many training documents.
-FIT_DOCUMENTS = 1_500
 #: Tokens for a task that counts contexts, where there are so many.
 TASK_TOKENS = 8_000_000
 #: Counters for a worker to hold before it sends them on.
@@ -121,30 +126,33 @@ PIECES = "piece int, part int, counts binary"
 
 
 def summed(rows: DataFrame) -> DataFrame:
-    """Add up the pieces of all parts, first within each part, then over the parts."""
-
-    def run(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for piece, part, data in zip(*(batch.column(c).to_pylist() for c in ("piece", "part", "counts"))):
-                x = np.frombuffer(data, "<u4")
-                if (piece, part) in sums:
-                    sums[piece, part] += x
-                else:
-                    sums[piece, part] = x.astype(np.uint64)
-        for (piece, part), x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([part], pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], names=["piece", "part", "counts"])
+    """Add up the pieces of all parts in 64 bits, first within each part, then over the parts."""
+
+    def run(kind):
+        def add(batches):
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for piece, part, data in zip(*(batch.column(c).to_pylist() for c in ("piece", "part", "counts"))):
+                    x = np.frombuffer(data, kind)
+                    if (piece, part) in sums:
+                        sums[piece, part] += x
+                    else:
+                        sums[piece, part] = x.astype(np.uint64)
+            for (piece, part), x in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([part], pa.int32()), pa.array([x.astype("<u8").tobytes()], pa.binary())], names=["piece", "part", "counts"])
+
+        return add
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    once = rows.repartition(n, "piece", "part").mapInArrow(run, PIECES).withColumn("part", F.lit(0))
-    return once.repartition(n, "piece").mapInArrow(run, PIECES)
+    once = rows.repartition(n, "piece", "part").mapInArrow(run("<u4"), PIECES).withColumn("part", F.lit(0))
+    return once.repartition(n, "piece").mapInArrow(run("<u8"), PIECES)
 
 
 def gathered(rows: DataFrame, size: int) -> np.ndarray:
-    """The summed array on the driver; its size is that of the model, whatever the corpus."""
-    out = np.zeros(-(-size // PIECE) * PIECE, np.uint32)
-    for r in summed(rows).collect():
-        x = np.frombuffer(r["counts"], "<u4")
+    """The summed array on the driver, as floats; its size is that of the model, whatever the corpus."""
+    out = np.zeros(-(-size // PIECE) * PIECE, np.float32)
+    for r in summed(rows).toLocalIterator():
+        x = np.frombuffer(r["counts"], "<u8")
         out[r["piece"] * PIECE : r["piece"] * PIECE + len(x)] = x
     return out[:size]
 
@@ -368,51 +376,29 @@ class Mixer:
         pairs = counts.reshape(-1, 2)
         self.logit, self.trust = np.empty(len(pairs), np.float32), np.empty(len(pairs), np.uint8)
         for k in range(0, len(pairs), PIECE):
-            n = pairs[k : k + PIECE].astype(np.float32)
+            n = pairs[k : k + PIECE]
             self.logit[k : k + PIECE] = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
             self.trust[k : k + PIECE] = np.digitize(n.sum(axis=1), (1, 16, 256))
-        self.weights = np.zeros((GATES, INPUTS), np.float32)
-        self.weights[:, :-1] = 0.3
-
-    def inputs(self, e: Events, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs of the mixer (a row each) and gates. own: the counts, from which an event's own one is then taken off."""
+        self.weights = np.zeros((LEVELS, 4, 4, INPUTS), np.float32)
+        for k, start in enumerate((ROOT_START, BRANCH_START, TWO_BRANCH_START)):
+            self.weights[..., k] = np.array(start)[:, None]
+        for k, start in enumerate((WORD_START, COARSE_START)):
+            self.weights[..., k + 3] = start
+        self.weights = self.weights.reshape(GATES, INPUTS)
+
+    def inputs(self, e: Events) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of the mixer (a row each) and gates."""
         x = np.empty((INPUTS, len(e.node)), np.float32)
         x[0] = self.tree.root[e.node]
         x[-1] = 0.3
         gate = GATE_OF_NODE[e.node]
         for k, slot in enumerate(e.slots):
             at = slot + OFFSETS[k] // 2
-            if own is None:
-                x[k + 1] = self.logit[at]
-                trust = self.trust[at] if k in GATED else 0
-            else:
-                n = own.reshape(-1, 2)[at].astype(float)
-                n[np.arange(len(at)), e.bit] -= 1
-                n = np.maximum(n, 0)
-                x[k + 1] = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
-                trust = np.digitize(n.sum(axis=1), (1, 16, 256))
+            x[k + 1] = self.logit[at]
             if k in GATED:
-                gate += GATED[k] * trust
+                gate += GATED[k] * self.trust[at]
         return x, gate
 
-    def fit(self, docs: list[list[bytes]], counts: np.ndarray, rounds: int = 3, step: int = 4096) -> None:
-        """Fit the weights of the gates by AdaGrad on documents that are among those counted."""
-        squares = np.full(self.weights.shape, 1e-2, np.float32)
-        for k in range(rounds):
-            for i in range(0, len(docs), 100):
-                leaf, first, _, _ = leaves(self.tree, docs[i : i + 100])
-                e = events(self.tree, leaf, first)
-                x, gate = self.inputs(e, counts)
-                shuffled = np.random.default_rng(i).permutation(len(gate))
-                for j in range(0, len(gate), step):
-                    at = shuffled[j : j + step]
-                    xs = x[:, at].T
-                    p = 1 / (1 + np.exp(-(self.weights[gate[at]] * xs).sum(axis=1)))
-                    slope = (e.bit[at] - p)[:, None] * xs
-                    g = np.stack([np.bincount(gate[at], slope[:, c], GATES) for c in range(INPUTS)], axis=1) / np.maximum(1, np.bincount(gate[at], minlength=GATES))[:, None]
-                    squares += g * g
-                    self.weights += (0.1 / (k + 1)) * g / np.sqrt(squares)
-
     def score(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
         """log10 probabilities of some texts; of each token its leaf and text number; and the words of each text that are not in the tree.
 
@@ -464,7 +450,7 @@ class Mixer:
 # Over Spark
 
 
-def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", held_out: Column | None = None, max_words: int = MAX_WORDS, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", held_out: Column | None = None, max_words: int = MAX_WORDS) -> DataFrame:
     """ident, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every document.
 
     Trained on the documents that are not held_out (by default crc32(ident) mod 7 = 2). Null texts are empty: their one token
@@ -494,10 +480,6 @@ def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", held_out:
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-tokens_seen // TASK_TOKENS))
     slots = gathered(context_counts(training.coalesce(tasks), shared_tree, max(64, math.isqrt(tasks))), int(OFFSETS[-1]))
     mixer = Mixer(tree, slots, spelled)
-    n_docs = int(n[words.index(b"")]) if b"" in words else 0
-    share = min(1.0, fit_documents / max(1, n_docs))
-    sample = training.where(F.pmod(F.xxhash64("ident"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("text").limit(2 * fit_documents)
-    mixer.fit([tokens(r["text"]) for r in sample.toLocalIterator()], slots)
     del slots
     model = spark.sparkContext.broadcast(mixer)
     kind = rows.schema["ident"].dataType.simpleString()

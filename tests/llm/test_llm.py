@@ -176,7 +176,7 @@ def test_quality_odd_input(edge, none):
 
 def test_lm_base_and_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
-    got = by_id(lm.scored(docs, fit_documents=100), "ident")
+    got = by_id(lm.scored(docs), "ident")
     tokens = {r["doc_id"]: [*lm.tokens(r["text"]), b""] for r in docs.collect()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
     counts = Counter(w for i, t in tokens.items() if not out[i] for w in t)
@@ -191,10 +191,69 @@ def test_lm_base_and_held_out(spark):
     assert bits[False] < bits[True] < 3.2
 
 
+def naive_decisions(tree, tokens):
+    """Token by token: its leaf and (node, bit, slots) of each of its decisions."""
+    mask = (1 << 64) - 1
+    mix = lambda x: (x + 1) * 0x9E3779B97F4A7C15 & mask
+    b1 = b2 = lm.BRANCHES
+    w1 = c1 = c2 = c3 = 0
+    for word in tokens:
+        leaf = tree.ids.get(word, tree.escape)
+        contexts = [b1, mix(b1 * (lm.BRANCHES + 1) + b2), mix(w1), (c1 * 16 + c2) * 16 + c3]
+        path = []
+        for step in tree.steps[tree.place[leaf] : tree.place[leaf] + tree.depth[leaf]].tolist():
+            node, bit = step >> 1, step & 1
+            hashed = lambda k, c: ((c + node) * 0xD6E8FEB86659FD93 & mask) >> (64 - lm.TABLE_BITS[k])  # noqa: B023, E731
+            path.append((node, bit, [contexts[0] * lm.BRANCHES + node, hashed(1, contexts[1]), hashed(2, contexts[2]), contexts[3] * lm.BRANCHES + node]))
+        yield leaf, path
+        b1, b2, w1, c1, c2, c3 = int(tree.branch[leaf]), b1, leaf + 1, int(tree.coarse[leaf]), c1, c2
+
+
+def naive_score(tree, counts, spelled, start, tokens):
+    total, delta, squares = 0.0, np.zeros(lm.INPUTS), np.ones(lm.INPUTS)
+    slope = np.zeros(lm.INPUTS)
+    for i, (word, (leaf, path)) in enumerate(zip(tokens, naive_decisions(tree, tokens))):
+        if i and i % lm.SEGMENT == 0:
+            g = slope / lm.SEGMENT
+            squares += g * g
+            delta += lm.RATE * g / np.sqrt(squares)
+            slope = np.zeros(lm.INPUTS)
+        total += float(tree.fixed[leaf])
+        if leaf == tree.escape and word:
+            total += float(spelled[lm.letter_grams([word])[0]].sum())
+        for node, bit, slots in path:
+            seen = [(counts[k, s, 0], counts[k, s, 1]) for k, s in enumerate(slots)]
+            trust = [sum(a + b >= t for t in (1, 16, 256)) for a, b in seen]
+            x = np.array([float(tree.root[node]), *[math.log((b + 0.4) / (a + 0.4)) for a, b in seen], 0.3]) * (1 if bit else -1)
+            gate = 16 * (node.bit_length() - 1) + 4 * trust[1] + trust[2]
+            p = 1 / (1 + math.exp(-float(((start[gate] + delta) * x).sum())))
+            total += math.log10(p)
+            slope += (1 - p) * x
+    return total
+
+
+def test_lm_scores_are_those_of_a_naive_scorer_whatever_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: [*lm.tokens(r["text"]), b""] for r in docs.collect()}
+    training = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    seen = Counter(w for t in training for w in t)
+    words_ = [w for w, n in seen.items() if n >= 2 or not w]
+    tree = lm.grow(words_, np.array([seen[w] for w in words_]), sum(n for w, n in seen.items() if n < 2 and w))
+    grams = np.bincount(lm.letter_grams([w for w in seen if w])[0], minlength=lm.LETTERS**4)
+    spelled = lm.spelling(grams)
+    counts = Counter((k, s, bit) for t in training for _, path in naive_decisions(tree, t) for _, bit, slots in path for k, s in enumerate(slots))
+    start = lm.Mixer(tree, np.zeros(int(lm.OFFSETS[-1]), np.float32), spelled).weights
+    one = {r["ident"]: r["score"] for r in lm.scored(docs.coalesce(1)).collect()}
+    seven = {r["ident"]: r["score"] for r in lm.scored(docs.repartition(7)).collect()}
+    assert seven == pytest.approx(one, rel=1e-6)
+    for i in sorted(texts)[::9]:
+        assert one[i] == pytest.approx(naive_score(tree, counts, spelled, start, texts[i]), rel=1e-4)
+
+
 def test_lm_probabilities_sum_to_one():
     words_, n = [b"", b"the", b"of", b"cat"], np.array([5, 9, 7, 2])
     tree = lm.grow(words_, n, 3)
-    mixer = lm.Mixer(tree, np.zeros(int(lm.OFFSETS[-1]), np.uint32), lm.spelling(np.zeros(lm.LETTERS**4, np.uint32)))
+    mixer = lm.Mixer(tree, np.zeros(int(lm.OFFSETS[-1]), np.float32), lm.spelling(np.zeros(lm.LETTERS**4, np.uint32)))
     single = [mixer.score([[w] if w else []])[0][0] for w in words_]
     end = mixer.score([[]])[0][0]
     first = [10 ** (s - end) if w else 10**s for s, w in zip(single, words_)]
