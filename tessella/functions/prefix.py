@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..session import pinned
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "__place") -> DataFrame:
+    """df with the place (from 0) of each row in the given order, which should be total."""
+    return running_sums(df, order, {name: F.lit(1).cast("bigint")}).withColumn(name, F.col(name) - 1)
+
+
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
     """df with a column for each of `sums`: its sum over all rows up to this one in the given order.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import uniform
+from ..functions.prefix import placed, running_sums
 
 #: Copies that augmentation makes of a key, by suffix.
 AUGMENTED = ("-reverb", "-noise", "-music", "-babble")
@@ -134,13 +136,21 @@ def shuffled_rank(key: Column, seed: int, *by: str) -> Column:
 
 def split_even(rows: DataFrame, n: int, order: str) -> DataFrame:
     """Contiguous blocks 1 to n of rows in order, the first ones a row larger."""
-    return rows.withColumn("part", F.ntile(n).over(Window.orderBy(order)))
+    return in_blocks(rows, n, [F.col(order)], "part")
+
+
+def in_blocks(rows: DataFrame, n: int, order: list[Column], name: str) -> DataFrame:
+    """rows with their block, 1 to n, of nearly equal blocks in order, the first ones a row larger."""
+    least, more = divmod(rows.count(), n)
+    at, edge = F.col("__place"), more * (least + 1)
+    block = F.when(at < edge, F.floor(at / (least + 1))).otherwise(more + F.floor((at - edge) / max(1, least))) + 1
+    return placed(rows, order).withColumn(name, block.cast("int")).drop("__place")
 
 
 def split_ceil(rows: DataFrame, n: int, order: str) -> DataFrame:
     """n contiguous blocks of ceil(rows / n) rows, the last one short."""
-    size = F.ceil(F.count("*").over(Window.partitionBy()) / n)
-    return rows.withColumn("part", (F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size) + 1).cast("int"))
+    size = max(1, -(-rows.count() // n))
+    return placed(rows, [F.col(order)]).withColumn("part", (F.floor(F.col("__place") / size) + 1).cast("int")).drop("__place")
 
 
 def pivot_scores(scores: DataFrame, row: str, col: str, names: list[str], score: str = "score") -> DataFrame:
@@ -162,16 +172,15 @@ def per_group_sample(rows: DataFrame, key: str, group: str, n: int, seed: int) -
 
 def group_split(rows: DataFrame, group: str, percent: float, seed: int) -> DataFrame:
     """Whole groups for validation: column is_valid for int(percent of the groups) of them."""
-    groups = rows.select(group).distinct()
-    rank = F.row_number().over(Window.orderBy(uniform(F.col(group), seed), group))
-    chosen = groups.withColumn("__rank", rank).withColumn("__n", F.count("*").over(Window.partitionBy())).select(group, (F.col("__rank") <= F.floor(F.col("__n") * percent / 100)).alias("is_valid"))
+    groups = placed(rows.select(group).distinct(), [uniform(F.col(group), seed), F.col(group)])
+    chosen = groups.select(group, (F.col("__place") < math.floor(groups.count() * percent / 100)).alias("is_valid"))
     return rows.join(small(chosen), group)
 
 
 def fraction_sample(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """int(rows * fraction) rows by a seeded hash."""
     n = int(rows.count() * fraction)
-    return rows.orderBy(uniform(F.col(key), seed), key).limit(n)
+    return placed(rows, [uniform(F.col(key), seed), F.col(key)]).where(F.col("__place") < n).drop("__place")
 
 
 def every_kth(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -184,19 +193,20 @@ def every_kth(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
 
 def until_quota(groups: DataFrame, group: str, size: str, quota: float, seed: int) -> DataFrame:
     """Groups in seeded order until their sizes reach the quota."""
-    before = Window.orderBy(uniform(F.col(group), seed), group).rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("__sum", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("__sum") < quota).drop("__sum")
+    upto = running_sums(groups, [uniform(F.col(group), seed), F.col(group)], {"__sum": F.col(size)})
+    return upto.where(F.col("__sum") - F.col(size) < quota).drop("__sum")
 
 
 def class_ids(rows: DataFrame, group: str) -> DataFrame:
-    """Integer ids from 0 in the order of the groups (W13). The ranking runs over the distinct groups only."""
-    ids = rows.select(group).distinct().withColumn("class_id", (F.row_number().over(Window.orderBy(group)) - 1).cast("int"))
+    """Integer ids from 0 in the order of the groups."""
+    ids = placed(rows.select(group).distinct(), [F.col(group)], "class_id").withColumn("class_id", F.col("class_id").cast("int"))
     return rows.join(small(ids), group)
 
 
 def interleaved(rows: DataFrame, source: str, order: str, block: int) -> DataFrame:
     """Proportional interleaving of several lists into blocks: always from the least consumed."""
-    w = Window.partitionBy(source)
-    share = (F.row_number().over(w.orderBy(order)) - 1) / F.count("*").over(w)
-    placed = rows.withColumn("__share", share)
-    return placed.withColumn("place", F.row_number().over(Window.orderBy("__share", source)) - 1).withColumn("block", F.floor(F.col("place") / block)).drop("__share")
+    ordered = placed(rows, [F.col(source), F.col(order)])
+    sources = ordered.groupBy(source).agg(F.count("*").alias("__n"), F.min("__place").alias("__first")).withColumnRenamed(source, "__source")
+    shares = ordered.join(small(sources), F.col(source).eqNullSafe(F.col("__source"))).withColumn("__share", (F.col("__place") - F.col("__first")) / F.col("__n"))
+    out = placed(shares.select(*rows.columns, "__share"), [F.col("__share"), F.col(source)], "place")
+    return out.withColumn("block", F.floor(F.col("place") / block)).drop("__share")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import uniform
+from ..functions.prefix import placed, running_sums
+from .keyed import in_blocks
 
 
 def sequential_chunks(rows: DataFrame, keep: list[str], frames: str, size: int, overlap: int = 0, tail: bool = True) -> DataFrame:
@@ -95,28 +97,26 @@ def noise_assignment(rows: DataFrame, noises: list[tuple[str, float]], key: str,
 
 def bins(rows: DataFrame, key: str, length: str, n: int) -> DataFrame:
     """Rows dealt over n bins in a snake by falling length, so that the bins' lengths are near each other."""
-    place = F.row_number().over(Window.orderBy(F.col(length).desc(), key)) - 1
-    lap, at = F.floor(place / n), place % n
-    return rows.withColumn("bin", F.when(lap % 2 == 0, at).otherwise(n - 1 - at).cast("int"))
+    lap, at = F.floor(F.col("__place") / n), F.col("__place") % n
+    ordered = placed(rows, [F.col(length).desc(), F.col(key)])
+    return ordered.withColumn("bin", F.when(lap % 2 == 0, at).otherwise(n - 1 - at).cast("int")).drop("__place")
 
 
 def group_parts(groups: DataFrame, group: str, size: str, n: int) -> DataFrame:
     """Contiguous parts of whole groups with nearly equal sums (O15): a group goes where its middle lies."""
-    w = Window.orderBy(group)
-    middle = F.sum(size).over(w) - F.col(size) / 2
-    return groups.withColumn("part", F.least(F.floor(middle * n / F.sum(size).over(Window.partitionBy())), F.lit(n - 1)).cast("int"))
+    total = groups.agg(F.sum(size)).first()[0] or 1
+    upto = running_sums(groups, [F.col(group)], {"__upto": F.col(size)})
+    return upto.withColumn("part", F.least(F.floor((F.col("__upto") - F.col(size) / 2) * n / F.lit(total)), F.lit(n - 1)).cast("int")).drop("__upto")
 
 
 def spread(rows: DataFrame, order: str, n: int) -> DataFrame:
     """n rows spread evenly over the order (W9): the first of each of n nearly equal blocks."""
-    part = F.ntile(n).over(Window.orderBy(order))
-    return rows.withColumn("__p", part).groupBy("__p").agg(F.min(order).alias(order)).drop("__p")
+    return in_blocks(rows, n, [F.col(order)], "__p").groupBy("__p").agg(F.min(order).alias(order)).drop("__p")
 
 
 def shards(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     """rows with shard: blocks of `size` rows of the seeded shuffle."""
-    place = F.row_number().over(Window.orderBy(uniform(F.col(key), seed), key)) - 1
-    return rows.withColumn("shard", F.floor(place / size))
+    return placed(rows, [uniform(F.col(key), seed), F.col(key)]).withColumn("shard", F.floor(F.col("__place") / size)).drop("__place")
 
 
 def manifest(sharded: DataFrame, length: str) -> DataFrame:

@@ -51,21 +51,15 @@ def tfidf_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.tf_idf(t.term_counts(docs(spark, sf_dir), "doc_id", F.col("w")), "doc_id", "normalized", "log-smoothed").withColumn("tfidf", F.round("tfidf", 6))
 
 
-@query(f"""WITH {SQL_WORDS}, u AS (SELECT doc_id, unnest(w) AS term FROM w), c AS (SELECT doc_id, term, count(*) AS c FROM u GROUP BY ALL),
+SQL_SIMILARITY = f"""WITH {SQL_WORDS}, u AS (SELECT doc_id, unnest(w) AS term FROM w), c AS (SELECT doc_id, term, count(*) AS c FROM u GROUP BY ALL),
 s AS (SELECT term, count(*) AS df FROM c GROUP BY term), d AS (SELECT count(DISTINCT doc_id) AS docs FROM c),
-i AS (SELECT doc_id, term, c * ln(docs / (1 + df)) AS x FROM c JOIN s USING (term), d WHERE df <= 50)
-SELECT a.doc_id AS query, b.doc_id AS source, round(sum(a.x * b.x), 4) AS score FROM i a JOIN i b USING (term) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL""")
-def document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = t.term_counts(docs(spark, sf_dir), "doc_id", F.col("w"), order=1)
-    rare = counts.groupBy("term").agg(F.count("*").alias("df")).where("df <= 50").select("term")
-    scored = t.tf_idf(counts, "doc_id").join(rare, "term")
-    pairs = t.similarity(scored.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"), scored.withColumnRenamed("doc_id", "source"), "query", "source")
-    return pairs.where("query <> source").select("query", "source", F.round("score", 4).alias("score"))
+i AS (SELECT doc_id, term, c * ln(docs / (1 + df)) AS x FROM c JOIN s USING (term), d)
+SELECT a.doc_id AS query, b.doc_id AS source, round(sum(a.x * b.x), 4) AS score FROM i a JOIN i b USING (term) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL"""
 
 
-@query()
-def document_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As document_similarity, over all terms; a term of many documents is dealt out by its sources."""
+@query(SQL_SIMILARITY)
+def document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth document against all, over all terms; a term of many documents is dealt out by its sources."""
     salts = 16
     counts = t.term_counts(docs(spark, sf_dir), "doc_id", F.col("w"), order=1)
     hot = counts.groupBy("term").agg((F.count("*") > 50).alias("hot"))
@@ -78,6 +72,12 @@ def document_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("query <> source").select("query", "source", F.round("score", 4).alias("score"))
 
 
+@query(SQL_SIMILARITY)
+def document_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_similarity under its earlier name."""
+    return document_similarity(spark, sf_dir)
+
+
 @query(f"WITH {SQL_WORDS} SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM w) GROUP BY word ORDER BY count DESC, word LIMIT 50")
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.top_words(docs(spark, sf_dir), F.col("w"), 50)
@@ -110,7 +110,7 @@ def kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sentence_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items under an add-one bigram model of themselves."""
+    """Benchmark items under a bigram model of themselves: shares of counts, and a fixed back-off weight."""
     counts = t.history_counts(table(spark, sf_dir, "benchmark"), words(F.col("text")), 2)
     total = F.sum("count").over(Window.partitionBy("n", "history"))
     model = counts.select("history", "word", F.ln(F.col("count") / total).alias("logp"), F.when(F.col("n") == 1, F.lit(-0.5)).alias("backoff"))
@@ -170,24 +170,28 @@ def keyword_hits_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.drop_near_hits(hits, 7200.0)
 
 
-@query(r"SELECT doc_id, 'edges' AS rule FROM documents WHERE regexp_matches(text, '^\s|\s$') UNION ALL SELECT doc_id, 'empty' FROM documents WHERE trim(text) = '' UNION ALL SELECT doc_id, 'null' FROM documents WHERE text IS NULL")
-def text_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.illegal_text(table(spark, sf_dir, "documents"), "doc_id", "text").where("rule in ('edges', 'empty', 'null')")
+SQL_RULES = r"""SELECT doc_id, 'edges' AS rule FROM documents WHERE regexp_matches(text, '^\s|\s$') UNION ALL SELECT doc_id, 'empty' FROM documents WHERE trim(text) = '' UNION ALL SELECT doc_id, 'null' FROM documents WHERE text IS NULL
+UNION ALL SELECT doc_id, 'control' FROM documents WHERE regexp_matches(text, '[\x00-\x08\x0E-\x1F]') UNION ALL SELECT doc_id, 'reserved' FROM documents WHERE regexp_matches(text, '(^|\s)(<s>|</s>|#0)(\s|$)')"""
 
 
-@query(r"""SELECT doc_id, 'edges' AS rule FROM documents WHERE regexp_matches(text, '^\s|\s$') UNION ALL SELECT doc_id, 'empty' FROM documents WHERE trim(text) = '' UNION ALL SELECT doc_id, 'null' FROM documents WHERE text IS NULL
-UNION ALL SELECT doc_id, 'control' FROM documents WHERE regexp_matches(text, '[\x00-\x08\x0E-\x1F]') UNION ALL SELECT doc_id, 'reserved' FROM documents WHERE regexp_matches(text, '(^|\s)(<s>|</s>|#0)(\s|$)')""")
-def text_validation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(SQL_RULES)
+def text_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five rules."""
     return t.illegal_text(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query(SQL_RULES)
+def text_validation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text_validation under its earlier name."""
+    return text_validation(spark, sf_dir)
+
+
 @query(r"SELECT regexp_replace(url, '\d+', 'N', 'g') AS pattern, count(*) AS count FROM pages GROUP BY ALL")
 def log_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.log_summary(table(spark, sf_dir, "pages"), "url")
 
 
-@query("SELECT event_id, round(ln(p / (1 - p)), 6) AS logit, round(ln(length(event_type)), 6) AS log_length FROM (SELECT *, value / 200 * 0.998::DOUBLE + 0.001::DOUBLE AS p FROM events)")
+@query("SELECT event_id, round(ln(p / (1 - p)), 6) AS logit, round(ln(length(event_type)), 6) AS log_length FROM (SELECT *, least(greatest(value / 200, 0), 1) * 0.998::DOUBLE + 0.001::DOUBLE AS p FROM events)")
 def confidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", t.confidence_features(F.col("value") / 200, F.col("event_type")).alias("f"))
     return rows.select("event_id", F.round("f.logit", 6).alias("logit"), F.round("f.log_length", 6).alias("log_length"))

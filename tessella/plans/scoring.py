@@ -35,25 +35,24 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6))
 
 
-def cohort(spark: SparkSession, sf_dir: str, trial: str = "{} % 5 = 1") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores of the trials (all vectors for which `trial` holds), of speakers and of vectors against the cohort (every seventh vector)."""
+def cohort(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of all trials, of speakers and of vectors against the cohort (every seventh vector)."""
     vec = embedded(spark, sf_dir)
     all_scores = scores(spark, sf_dir)
     enroll = all_scores.where("test % 7 = 0").select("enroll", F.col("test").alias("cohort"), "score")
     units = vec.select("vec_id", F.col("v").alias("vector"))
-    tests = vec.where(trial.format("vec_id")).select(F.col("vec_id").alias("test"))
-    pairs = tests.crossJoin(F.broadcast(vec.where("vec_id % 7 = 0").select(F.col("vec_id").alias("enroll"))))
+    pairs = trials.generate(vec.where("vec_id % 7 = 0").select(F.col("vec_id").alias("enroll")), vec.select(F.col("vec_id").alias("test"), F.col("vec_id").alias("spk"))).select("enroll", "test")
     against = trials.cosine_scores(pairs, units.withColumnRenamed("vec_id", "enroll"), units.withColumnRenamed("vec_id", "test"))
     test = against.select("test", F.col("enroll").alias("cohort"), F.round("score", 6).alias("score"))
-    return all_scores.where(trial.format("test")), enroll, test
+    return all_scores, enroll, test
 
 
 SQL_COHORT = SQL_SCORES + """,
-trial AS (SELECT * FROM scores WHERE test % 5 = 1),
+trial AS (SELECT * FROM scores),
 ec AS (SELECT enroll, test AS cohort, score FROM scores WHERE test % 7 = 0),
 tc AS (
   SELECT t.vec_id AS test, c.vec_id AS cohort, round(list_cosine_similarity(c.v, t.v), 6) AS score
-  FROM vec t CROSS JOIN vec c WHERE t.vec_id % 5 = 1 AND c.vec_id % 7 = 0)
+  FROM vec t CROSS JOIN vec c WHERE c.vec_id % 7 = 0)
 """
 
 SQL_SWEEP = SQL_SCORES + """,
@@ -187,8 +186,8 @@ def score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def score_norm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As score_norm, for all trials."""
-    return trials.s_norm(*cohort(spark, sf_dir, "true")).select("enroll", "test", "target", F.round("score", 5).alias("score"))
+    """score_norm under its earlier name."""
+    return score_norm(spark, sf_dir)
 
 
 @query(SQL_COHORT + """,
@@ -201,8 +200,8 @@ def adaptive_score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def adaptive_score_norm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As adaptive_score_norm, for all trials."""
-    return trials.s_norm(*cohort(spark, sf_dir, "true"), top=20).select("enroll", "test", "target", F.round("score", 5).alias("score"))
+    """adaptive_score_norm under its earlier name."""
+    return adaptive_score_norm(spark, sf_dir)
 
 
 @query(SQL_COHORT + """,
@@ -218,8 +217,8 @@ def cross_score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cross_score_norm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As cross_score_norm, for all trials."""
-    return trials.s_norm_cross(*cohort(spark, sf_dir, "true"), top=20).select("enroll", "test", "target", F.round("score", 5).alias("score"))
+    """cross_score_norm under its earlier name."""
+    return cross_score_norm(spark, sf_dir)
 
 
 @query(SQL_SCORES + "SELECT enroll, test, round(0.3::DOUBLE * a + 0.7::DOUBLE * score, 8) AS score FROM (SELECT s.enroll, s.test, s.score, coalesce(round(o.score * o.score, 6), 0) AS a FROM scores s LEFT JOIN (SELECT * FROM scores WHERE test % 3 = 0) o USING (enroll, test))")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import uniform
+from ..functions.prefix import placed
 
 
 def pipeline(rows: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -20,14 +21,13 @@ def pipeline(rows: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> Data
 
 def distributed(rows: DataFrame, key: str, world: int, workers: int, epoch: int) -> DataFrame:
     """rank and worker of each row in the shuffle of an epoch (R2)."""
-    place = F.row_number().over(Window.orderBy(uniform(F.col(key), epoch), key)) - 1
-    return rows.withColumn("rank", place % world).withColumn("worker", F.floor(place / world) % workers)
+    place = F.col("__place")
+    return placed(rows, [uniform(F.col(key), epoch), F.col(key)]).withColumn("rank", place % world).withColumn("worker", F.floor(place / world) % workers).drop("__place")
 
 
 def buffered_order(rows: DataFrame, order: str, key: str, buffer: int, by: str | None = None, seed: int = 0) -> DataFrame:
     """place: rows shuffled, or sorted by a column, within buffers of consecutive rows."""
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    rows = rows.withColumn("__buffer", F.floor(at / buffer))
+    rows = placed(rows, [F.col(order)]).withColumn("__buffer", F.floor(F.col("__place") / buffer)).drop("__place")
     inner = [F.col(by), F.col(key)] if by else [uniform(F.col(key), seed), F.col(key)]
     inside = F.row_number().over(Window.partitionBy("__buffer").orderBy(*inner)) - 1
     return rows.withColumn("place", F.col("__buffer") * buffer + inside).drop("__buffer")
@@ -35,7 +35,7 @@ def buffered_order(rows: DataFrame, order: str, key: str, buffer: int, by: str |
 
 def static_batches(rows: DataFrame, order: str, n: int) -> DataFrame:
     """batch: every n rows in order."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / n))
+    return placed(rows, [F.col(order)]).withColumn("batch", F.floor(F.col("__place") / n)).drop("__place")
 
 
 def dynamic_batches(rows: DataFrame, part: str, order: str, length: str, most: int) -> DataFrame:
@@ -62,6 +62,10 @@ def padded(rows: DataFrame, batch: list[str], values: str, fill: float = 0.0) ->
     return rows.withColumn("__m", longest).withColumn("valid", n / F.col("__m")).withColumn(values, F.concat(values, F.array_repeat(F.lit(fill), F.col("__m") - n))).drop("__m")
 
 
-def quota_filter(rows: DataFrame, length: str, least: float, most: float) -> DataFrame:
-    """Rows of a fitting length (F8)."""
-    return rows.where(F.col(length).between(least, most))
+def quota_filter(rows: DataFrame, length: str, least: float, most: float, values: str | None = None, cut: int | None = None) -> DataFrame:
+    """Rows of a fitting length; of longer ones, with cut, the first `cut` elements of the array `values` (F8)."""
+    if cut is None:
+        return rows.where(F.col(length).between(least, most))
+    long = F.col(length) > most
+    out = rows.where(F.col(length) >= least).withColumn("__long", long)
+    return out.withColumn(values, F.when(F.col("__long"), F.slice(values, 1, cut)).otherwise(F.col(values))).withColumn(length, F.when(F.col("__long"), F.least(F.col(length), F.lit(cut))).otherwise(F.col(length))).drop("__long")

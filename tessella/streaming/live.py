@@ -15,9 +15,10 @@ def framed_stream(pieces: DataFrame, key: str, order: str, samples: str, size: i
 
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, rest = state.get if state.exists else (0, [])
-        rest, rows = list(rest), []
-        for pdf in pd.concat(list(batches)).sort_values(order)[samples]:
-            rest += list(pdf)
+        # The state holds plain Python values; the JVM reads no numpy ones.
+        done, rest, rows = int(done), [float(x) for x in rest], []
+        for piece in pd.concat(list(batches)).sort_values(order)[samples]:
+            rest += [float(x) for x in piece]
         while len(rest) >= size:
             rows.append((name[0], done, rest[:size]))
             rest, done = rest[shift:], done + 1
