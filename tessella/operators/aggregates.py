@@ -84,7 +84,17 @@ def scatter(rows: DataFrame, vector: str, group: str | None = None) -> tuple[np.
         if n:
             yield pd.DataFrame({"second": [second.ravel()], "first": [first], "n": [n]})
 
-    sums = rows.select(arrays.doubles(F.col(vector)).alias("v")).mapInPandas(partial, "second array<double>, first array<double>, n bigint").collect()
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            for second, first, n in pdf.itertuples(index=False):
+                total = (second, first, n) if total is None else (total[0] + second, total[1] + first, total[2] + n)
+        if total is not None:
+            yield pd.DataFrame({"second": [total[0]], "first": [total[1]], "n": [total[2]]})
+
+    kind = "second array<double>, first array<double>, n bigint"
+    parts = rows.select(arrays.doubles(F.col(vector)).alias("v")).mapInPandas(partial, kind)
+    sums = parts.repartition(8).mapInPandas(added, kind).collect()  # eight matrices, however many partitions there are
     second, first, n = sum(np.array(r["second"]) for r in sums), sum(np.array(r["first"]) for r in sums), sum(r["n"] for r in sums)
     second = second.reshape(len(first), -1)
     groups = mean_vectors(rows, [group], vector).orderBy(group).toPandas() if group else None

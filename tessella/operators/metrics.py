@@ -10,25 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import running_sums
+from ..session import pinned
 
 
 def sweep(trials: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     """score, p, n (targets and nontargets of that score), p_upto, n_upto, p_all and n_all, a row a distinct score."""
     y = F.col(target).cast("int")
-    points = trials.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
+    points = pinned(trials.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")))
     swept = running_sums(points, [F.col("score")], {"p_upto": F.col("p"), "n_upto": F.col("n")})
     totals = points.agg(F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))
     return swept.join(F.broadcast(totals))  # one row
 
 
-def eer(trials: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
+def eer(trials: DataFrame, score: str = "score", target: str = "target", points: DataFrame | None = None) -> DataFrame:
     """Equal error rate and its threshold: one row eer, threshold (M2, M3).
 
     Rows are taken by score, nontargets first on ties; at the first row where the false acceptances are at
     most the false rejections, the nearer of it and the row before gives the mean of the two rates. Without both
-    kinds of trials the result is null.
+    kinds of trials the result is null. points: the sweep of the trials, where it is known.
     """
-    points = sweep(trials, score, target)
+    points = sweep(trials, score, target) if points is None else points
     # Inside one score the nontargets go one by one, and then the targets; the crossing lies in one of the two.
     fa0, fr0 = F.col("n_all") - (F.col("n_upto") - F.col("n")), F.col("p_upto") - F.col("p")
     n, p = F.col("n_all"), F.col("p_all")
@@ -47,9 +48,9 @@ def eer(trials: DataFrame, score: str = "score", target: str = "target") -> Data
     return found.agg(F.min_by("eer", "score").alias("eer"), F.min("score").alias("threshold"))
 
 
-def min_dcf(trials: DataFrame, p_target: float = 0.01, c_miss: float = 1.0, c_fa: float = 1.0, score: str = "score", target: str = "target") -> DataFrame:
+def min_dcf(trials: DataFrame, p_target: float = 0.01, c_miss: float = 1.0, c_fa: float = 1.0, score: str = "score", target: str = "target", points: DataFrame | None = None) -> DataFrame:
     """Minimum detection cost over all rows in the order of score (nontargets first on ties), normalised by the better trivial system (M1)."""
-    points = sweep(trials, score, target)
+    points = sweep(trials, score, target) if points is None else points
     cost = lambda fr, fa: F.try_divide(c_miss * p_target * fr, F.col("p_all")) + F.try_divide(c_fa * (1 - p_target) * fa, F.col("n_all"))
     fa0, fr0 = F.col("n_all") - (F.col("n_upto") - F.col("n")), F.col("p_upto") - F.col("p")
     # The cost falls with each nontarget and rises with each target: its least is after the nontargets of a score, or, if it has only targets, after the first of them.

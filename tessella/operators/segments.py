@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -236,3 +237,53 @@ def frame_shift(rows: DataFrame, key: str, length: str, frames: str) -> DataFram
     """Seconds a frame from the first ten rows, 0.01 where it is nearly that."""
     shift = F.sum(length) / F.sum(frames)
     return rows.orderBy(key).limit(10).agg(F.when((shift > 0.01) & (shift < 0.0102), 0.01).otherwise(shift).alias("frame_shift"))
+
+
+def whole_recordings(segments: DataFrame, text: str | None = None) -> DataFrame:
+    """recording, utts (in order of start), start, end and, if asked for, the joined text: a table of segments as one of whole recordings, each its own speaker.
+
+    segments: recording, utt, start, end and the text column.
+    """
+    row = F.struct("start", "utt", *([F.col(text).alias("text")] if text else []))
+    rows = segments.groupBy("recording").agg(F.array_sort(F.collect_list(row)).alias("__l"), F.min("start").alias("start"), F.max("end").alias("end"))
+    texts = [F.array_join(F.filter(F.transform("__l", lambda x: x["text"]), lambda x: x != ""), " ").alias("text")] if text else []
+    return rows.select("recording", F.col("recording").alias("speaker"), F.transform("__l", lambda x: x["utt"]).alias("utts"), "start", "end", *texts)
+
+
+def as_recordings(segments: DataFrame) -> DataFrame:
+    """Each segment as a recording of its own: utt, recording (the utt), start 0, end, and the piece of the old one that it is."""
+    return segments.select("utt", F.col("utt").alias("recording"), F.lit(0.0).alias("start"), (F.col("end") - F.col("start")).alias("end"), F.struct(F.col("recording").alias("of"), "start", "end").alias("piece"))
+
+
+def targets_on_recordings(recordings: DataFrame, segments: DataFrame, default: list[float], shift: float = 0.01, tolerance: int = 4) -> DataFrame:
+    """recording, targets (rows of numbers): targets of segments put onto their recordings.
+
+    recordings: recording, frames. segments: recording, utt, start, end, targets. Frames outside segments have the default row. Where
+    a segment overlaps what came before, the new one fades in linearly. A segment inside what came before, outside the recording, or
+    whose targets are more than `tolerance` frames off its length, is left out. A recording is one group, bounded by its own length.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in recordings.schema.fields}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        frames = int(pdf["frames"].iloc[0])
+        out = np.tile(np.array(default, float), (frames, 1))
+        done = 0
+        for start, end, rows in pdf.dropna(subset=["utt"]).sort_values(["start", "utt"])[["start", "end", "targets"]].itertuples(index=False):
+            new = np.array([list(x) for x in rows], float).reshape(len(rows), len(default))
+            first, last = int(start / shift + 0.5), int(end / shift + 0.5)
+            if last <= first or abs(len(new) - (last - first)) > tolerance:
+                continue
+            n = min(min(last, frames) - first, len(new))
+            last = first + n
+            if n <= 0 or last < done:
+                continue
+            both = max(0, min(done, last) - first)
+            if both:
+                w = (np.arange(both) / (done - first))[:, None]
+                out[first : first + both] = out[first : first + both] * (1 - w) + new[:both] * w
+            out[first + both : last] = new[both:n]
+            done = last
+        return pd.DataFrame({"recording": [key[0]], "targets": [out.tolist()]})
+
+    joined = recordings.select("recording", "frames").join(segments.select("recording", "utt", "start", "end", "targets"), "recording", "left")
+    return joined.groupBy("recording").applyInPandas(run, f"recording {fields['recording']}, targets array<array<double>>")

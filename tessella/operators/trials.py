@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.prefix import placed
 from .keyed import small, weighted_scores
 from .ordered import top_n
 
@@ -145,3 +146,18 @@ def best_epoch(tables: dict[int, DataFrame], metric: Callable[[DataFrame], DataF
         row = metric(scores).withColumn("epoch", F.lit(epoch))
         out = row if out is None else out.unionByName(row)
     return out.withColumn("is_best", F.row_number().over(Window.orderBy(F.col(out.columns[0]), "epoch")) == 1)
+
+
+def find_scores(files: DataFrame, keys: list[str] = (), excepts: list[str] = (), path: str = "path") -> DataFrame:
+    """index, path and eer of the score files whose name holds all keys and none of the excepted ones, in order of name.
+
+    files: path and, where it is known, eer. The index is '#place', behind the error rate if there is one.
+    """
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    rows = files.where(name.endswith(".score"))
+    for k in keys:
+        rows = rows.where(name.contains(k))
+    for k in excepts:
+        rows = rows.where(~name.contains(k))
+    rows = rows if "eer" in rows.columns else rows.withColumn("eer", F.lit(None).cast("double"))
+    return placed(rows, [F.col(path)]).select(F.concat(F.coalesce(F.col("eer").cast("string"), F.lit("")), F.lit("#"), (F.col("__place") + 1).cast("string")).alias("index"), path, "eer")

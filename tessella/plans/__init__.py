@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import grouped, keyed, language, sampled, scoring, timed, vectors  # noqa: E402, F401
+from . import edits, grouped, keyed, language, sampled, scoring, timed, vectors  # noqa: E402, F401

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, metrics, trials
-from ..session import table
+from ..session import pinned, table
 from . import query
 
 DIM = 64
@@ -74,7 +74,8 @@ FROM hit""")
 def trials_eer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speaker means against all vectors: cosine, equal error rate, minimum detection cost."""
     rows = scores(spark, sf_dir)
-    return metrics.eer(rows).select(F.round("eer", 6).alias("eer"), "threshold").join(F.broadcast(metrics.min_dcf(rows).select(F.round("min_dcf", 6).alias("min_dcf"))))
+    points = pinned(metrics.sweep(rows))
+    return metrics.eer(rows, points=points).select(F.round("eer", 6).alias("eer"), "threshold").join(F.broadcast(metrics.min_dcf(rows, points=points).select(F.round("min_dcf", 6).alias("min_dcf"))))
 
 
 @query(SQL_SCORES + "SELECT enroll, test, target, score FROM scores")

@@ -134,3 +134,24 @@ def range_of(path: Column) -> Column:
 def refuse_pipes(index: DataFrame, path: str = "path") -> DataFrame:
     """Index entries that are shell commands are an error."""
     return index.where(F.when(F.col(path).endswith("|"), F.raise_error(F.concat(F.lit("a shell pipe is not read: "), F.col(path)))).otherwise(True))
+
+
+def bracketed(line: Column) -> Column:
+    """The contents of each [ ... ] of a line, as lists of words."""
+    return F.transform(F.regexp_extract_all(line, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != ""))
+
+
+def read_posteriors(spark: SparkSession, path: str) -> DataFrame:
+    """key and frames, an array a frame of (id, weight), from lines 'key [ id weight id weight ] [ ... ]'; confusion networks have the same form."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    pairs = lambda f: F.transform(F.sequence(F.lit(1), F.size(f) - 1, F.lit(2)), lambda i: F.struct(F.element_at(f, i).cast("int").alias("id"), F.element_at(f, i + 1).cast("double").alias("weight")))
+    none = F.array().cast("array<struct<id: int, weight: double>>")
+    return lines.select(fields(F.col("value"))[0].alias("key"), F.transform(bracketed(F.col("value")), lambda f: F.when(F.size(f) > 1, pairs(f)).otherwise(none)).alias("frames"))
+
+
+def read_intervals(spark: SparkSession, path: str) -> DataFrame:
+    """key and intervals (begin, end) from lines 'key begin end ; begin end ;' (S8)."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rest = F.regexp_replace(F.trim("value"), r"^\S+\s*", "")
+    parts = F.filter(F.transform(F.split(rest, ";"), lambda x: fields(x)), lambda x: F.size(x) == 2)
+    return lines.select(fields(F.col("value"))[0].alias("key"), F.transform(parts, lambda x: F.struct(x[0].cast("double").alias("begin"), x[1].cast("double").alias("end"))).alias("intervals"))
