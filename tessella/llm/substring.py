@@ -2,11 +2,11 @@
 
 The reference is every document, indexed in blocks: an anchor is the smallest hash of the phrases of
 PHRASE words inside a window of `width` words, so that two equal windows have equal anchors, and the
-index is a table of anchors dealt over Spark's partitions (its blocks). A document is factored only where
-its anchors stand in a second document. There it is parsed greedily into factors, runs of windows that an
-earlier document holds: windows start a factor, lengthen it as long as the next one is found too, and
-the words of a factor are a duplicate span. As a factor ends only where its next window is found nowhere, what
-lies at factor boundaries is checked window by window, and nothing depends on which source was taken.
+index is a table of anchors dealt over Spark's partitions (its blocks). A document is parsed only where
+its anchors stand in a second document: there its windows are looked up in the index, by their hash, for the first
+document that holds them and where. Parsing goes from left to right: a factor is copied from its source as far as the windows of
+the two go on alike, and at its end the next window is looked up anew. Factors are `width` words long or longer, and
+their words are a duplicate span. Which of several sources is taken changes the factors, but not the words that they cover.
 """
 
 from __future__ import annotations
@@ -162,19 +162,34 @@ def windows(rows: DataFrame, width: int, bits=None) -> DataFrame:
     return rows.mapInArrow(run, f"ident {kind}, start int, hash bigint")
 
 
-def factors(starts: list[int], width: int) -> list[tuple[int, int]]:
-    """Greedy factors over the starts of found windows, as (first word, end): sorted and apart."""
+def parsed(start: np.ndarray, source: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy factors over the windows of a document that the index holds, as (place of the first window, end word).
+
+    source and at say where the index has each window: a factor starts at the first window that is left and is
+    copied from there as far as the next window is also the next one of that source. At its end, the next window is looked up
+    anew, so that nothing is lost where the source changes.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    goes_on = (start[1:] == start[:-1] + 1) & (source[1:] == source[:-1]) & (at[1:] == at[:-1] + 1)
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    last = np.concatenate([first[1:] - 1, [len(start) - 1]])
+    return first, start[last] + width
+
+
+def united(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Spans in order of start, joined where they overlap or touch."""
     out: list[tuple[int, int]] = []
-    for s in sorted(starts):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + width)
+    for a, b in zip(starts, ends):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            out.append((s, s + width))
+            out.append((a, b))
     return out
 
 
 def duplicate_windows(rows: DataFrame, width: int) -> DataFrame:
-    """ident and starts (array): the windows of a document that a document with a smaller ident holds.
+    """ident and found (array of start, source, at): the windows of a document that one with a smaller ident holds; the first of those is the source, which has it at `at`.
 
     Up to MAX_FILTERED shared anchors, a bit filter of them goes to all executors and picks the windows while the
     texts are read. Beyond that a filter of bounded size would pass too much: then each document is joined with its own shared anchors.
@@ -188,15 +203,16 @@ def duplicate_windows(rows: DataFrame, width: int) -> DataFrame:
     else:
         wanted = pinned(anchors(rows, width).join(shared, "anchor").groupBy("ident").agg(F.collect_set("anchor").alias("shared")))
         picked = windows(rows.join(wanted, "ident"), width)
-    firsts = pinned(picked.groupBy("hash").agg(*spans).where("first < last").select("hash", "first"))
+    firsts = pinned(picked.groupBy("hash").agg(*spans, F.min_by("start", "ident").alias("at")).where("first < last").select("hash", "first", "at"))
     release(spark)
-    out = pinned(picked.join(firsts, "hash").where("first < ident").groupBy("ident").agg(F.collect_set("start").alias("starts")))
+    found = F.struct("start", F.col("first").alias("source"), "at")
+    out = pinned(picked.join(firsts, "hash").where("first < ident").groupBy("ident").agg(F.collect_set(found).alias("found")))
     release(spark)
     return out
 
 
 def deduped(docs: DataFrame, width: int = 13, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """ident, n_words, removed (spans of words), kept (the other words joined by a blank) of every document.
+    """ident, n_words, factors (start and end in words, source, at), removed (their spans, united), kept (the other words joined by a blank) of every document.
 
     A word goes if it is in a window of `width` words that starts in a document with a smaller ident as well;
     windows are those of the input. Null texts have no words; null idents are compared with nothing; rows
@@ -204,18 +220,35 @@ def deduped(docs: DataFrame, width: int = 13, ident: str = "doc_id", text: str =
     """
     rows = docs.select(docs[ident].alias("ident"), docs[text].alias("text"))
     starts = duplicate_windows(rows.where("ident is not null"), width)
-    joined = rows.join(starts.withColumnRenamed("ident", "of"), F.col("ident") == F.col("of"), "left").select("ident", "text", "starts")
+    joined = rows.join(starts.withColumnRenamed("ident", "of"), F.col("ident") == F.col("of"), "left").select("ident", "text", "found")
     kind = rows.schema["ident"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch, docs in chunks(batches):
-            spans = [factors(s, width) if s else [] for s in batch.column("starts").to_pylist()]
-            kept = []
-            for words, found in zip(docs, spans):
-                ends = [0, *(x for s in found for x in s), len(words)]
-                kept.append(b" ".join(w for a, b in zip(ends[::2], ends[1::2]) for w in words[a:b]).decode())
-            removed = [[{"start": a, "end": b} for a, b in s] for s in spans]
-            yield pa.RecordBatch.from_arrays([batch.column("ident"), pa.array([len(x) for x in docs], pa.int64()), pa.array(removed, span), pa.array(kept)], names=["ident", "n_words", "removed", "kept"])
-
-    return joined.mapInArrow(run, f"ident {kind}, n_words bigint, removed array<struct<start: bigint, end: bigint>>, kept string")
+            found = batch.column("found")
+            rows = found.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            start, at = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "at"))
+            source = rows.field("source").dictionary_encode()
+            order = np.lexsort((start, owner))
+            owner, start, at = owner[order], start[order], at[order]
+            code = source.indices.to_numpy(zero_copy_only=False)[order]
+            edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            removed, kept, picks, ends, sizes = [], [], [], [], []
+            for k, words in enumerate(docs):
+                a, b = edges[k], edges[k + 1]
+                first, end = parsed(start[a:b], code[a:b], at[a:b], width)
+                spans = united(start[a:b][first].tolist(), end.tolist())
+                cuts = [0, *(x for s in spans for x in s), len(words)]
+                kept.append(b" ".join(w for i, j in zip(cuts[::2], cuts[1::2]) for w in words[i:j]).decode())
+                removed.append([{"start": i, "end": j} for i, j in spans])
+                picks.append(first + a)
+                ends.append(end)
+                sizes.append(len(first))
+            pick = np.concatenate([np.zeros(0, np.int64), *picks])
+            factors = pa.StructArray.from_arrays([pa.array(start[pick]), pa.array(np.concatenate([np.zeros(0, np.int64), *ends])), rows.field("source").take(pa.array(order[pick])), pa.array(at[pick])], names=["start", "end", "source", "at"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), factors)
+            yield pa.RecordBatch.from_arrays([batch.column("ident"), pa.array([len(x) for x in docs], pa.int64()), lists, pa.array(removed, span), pa.array(kept)], names=["ident", "n_words", "factors", "removed", "kept"])
+
+    return joined.mapInArrow(run, f"ident {kind}, n_words bigint, factors array<struct<start: bigint, end: bigint, source: {kind}, at: bigint>>, removed array<struct<start: bigint, end: bigint>>, kept string")

@@ -291,8 +291,15 @@ def brute_substring(rows, width=13):
 @pytest.mark.parametrize("limit", [0, 10**9])
 def test_substring(docs, monkeypatch, limit):
     monkeypatch.setattr(substring, "MAX_FILTERED", limit)
-    got = {r["ident"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["removed"]), r["kept"]) for r in substring.deduped(docs).collect()}
-    assert got == brute_substring([(r["doc_id"], r["text"]) for r in docs.collect()])
+    rows, texts = substring.deduped(docs).collect(), {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["ident"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["removed"]), r["kept"]) for r in rows}
+    assert got == brute_substring(list(texts.items()))
+    # Every factor is a copy of its source, which comes before it.
+    factors = [(r["ident"], f) for r in rows for f in r["factors"]]
+    for i, f in factors:
+        n = f["end"] - f["start"]
+        assert f["source"] < i and n >= 13 and words(texts[i])[f["start"] : f["end"]] == words(texts[f["source"]])[f["at"] : f["at"] + n]
+    assert len(factors) > 20 and {(i, w) for i, f in factors for w in range(f["start"], f["end"])} == {(r["ident"], w) for r in rows for s in r["removed"] for w in range(s["start"], s["end"])}
 
 
 def test_substring_odd_input(edge, none):
