@@ -96,4 +96,6 @@ def first_rows(rows: DataFrame, groups: DataFrame, ident: str) -> DataFrame:
     ids = rows.select("__row", rows[f"`{ident}`"].alias("__ident"))
     least = F.min(F.struct(F.col("__ident").isNull(), "__ident", "__row"))
     stay = groups.join(ids, "__row").groupBy("group").agg(least.alias("least")).select(F.col("least.__row").alias("__row"))
-    return rows.join(stay, "__row", "left_semi").drop("__row")
+    # The rows that go are fewer than those that stay, and often few enough to leave the texts where they are.
+    gone = pinned(groups.select("__row").join(stay, "__row", "left_anti"))
+    return rows.join(if_small(gone, gone.count(), 1_000_000), "__row", "left_anti").drop("__row")

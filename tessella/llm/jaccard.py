@@ -27,6 +27,8 @@ SAMPLE = 5_000
 FEW_TIMES = 8
 STEP = 1 << 17
 FEW = 1_000_000
+#: Pairs of one document that are compared in a task at most, on average.
+TOGETHER = 256
 
 NODE = "__row bigint, sig bigint, n int, fp bigint, bits array<bigint>"
 
@@ -177,22 +179,34 @@ def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, text: str, width: int, least: Fraction) -> DataFrame:
-    """The pairs (u, v) whose whole sets have the similarity; holders has one row (__row) of each sig."""
-    wanted = pinned(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(holders.select("sig", "__row"), "sig"))
-    of = rows.select("__row", rows[f"`{text}`"].alias("text")).join(if_small(wanted, wanted.count(), FEW), "__row").select("sig", "text")
+    """The pairs (u, v) whose whole sets have the similarity; holders has one row (__row) of each sig.
+
+    The text of each v goes to its u, in one shuffle, and that of u once to every TOGETHER of its pairs, so that no u has all of them in one task.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = pairs.groupBy("u").agg(F.ceil(F.count("*") / TOGETHER).alias("salts"))
+    salted = pinned(pairs.join(salts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).alias("salt")))
+    at = holders.select("sig", F.col("__row").alias("at"))
+    sent = salted.join(at, F.col("v") == F.col("sig")).select("at", "u", "salt", "v")
+    sent = sent.unionByName(salted.select("u", "salt").distinct().join(at, F.col("u") == F.col("sig")).select("at", "u", "salt", F.lit(None).cast("bigint").alias("v")))
+    sent = pinned(sent)
+    texts = rows.select("__row", rows[f"`{text}`"].alias("text")).join(if_small(sent, sent.count(), FEW), F.col("__row") == F.col("at"))
+    dealt = texts.select("u", "salt", "v", "text").repartition(parts, "u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
     p, q = least.numerator, least.denominator
 
     def run(batches):
-        last = known = None
+        whole = None  # the set of the u whose pairs are read
         for batch in batches:
-            good = []
-            for u, v, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "a", "b"))):
-                if v != last:  # rows of one v come together
-                    last, known = v, shingles(b, width)
-                other = shingles(a, width)
-                both = len(np.intersect1d(known, other, assume_unique=True))
-                good.append(both * (p + q) >= (len(known) + len(other)) * p)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    met = pairs.join(of.select(F.col("sig").alias("u"), F.col("text").alias("a")), "u").join(of.select(F.col("sig").alias("v"), F.col("text").alias("b")), "v")
-    return met.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+            found = []
+            for u, v, x in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "text"))):
+                one = shingles(x, width)
+                if v is None:
+                    whole = one
+                else:
+                    both = len(np.intersect1d(whole, one, assume_unique=True))
+                    if both * (p + q) >= (len(whole) + len(one)) * p:
+                        found.append((u, v))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u bigint, v bigint")
