@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, if_small, pinned
+from .common import TO_LOWER, if_small, pinned, release
 
 #: 64-bit words of a parity bitmap, slots of the table of frequent shingles, and the documents that it is counted on.
 BITS = 16
@@ -150,7 +150,10 @@ def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mixed = nodes.select(F.explode("prefix").alias("token"), "label").groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
     mixed = pinned(mixed)
+    release(nodes.sparkSession)
     shared = pinned(nodes.select(F.explode("prefix").alias("token"), "sig").join(if_small(mixed, mixed.count(), FEW), "token", "left_semi"))
+    del mixed
+    release(nodes.sparkSession)
     dealt = shared.join(nodes, "sig").select("token", "sig", "n", "bits", "label").repartition(parts, "token").sortWithinPartitions("token", "label", "sig")
 
     def run(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import TO_LOWER, first_rows, numbered, pinned, release, set_apart
+from .common import TO_LOWER, first_rows, if_small, numbered, pinned, release, set_apart
 from .graph import components, roots
 
 LEAF = 256
@@ -230,13 +230,17 @@ def first_documents(docs: DataFrame, width: int = 5, least: float = 0.8, r: int
     same = nodes.join(heads, "fp").where("sig <> head").select(F.col("sig").alias("u"), F.col("head").alias("v"))
     near = pinned(jaccard.verified(pinned(near.unionByName(same)), rows, nodes, text, width, share))
     release(rows.sparkSession)
-    labels = nodes.join(components(near), F.col("sig") == F.col("node"), "left").select("__row", F.coalesce("label", "sig").alias("label"))
-    labelled = pinned(every.select("__row", "sig", "n", "bits", "prefix").join(labels, "__row"))
+    del found, same, heads
+    labels = pinned(nodes.join(components(near), F.col("sig") == F.col("node"), "left").select("__row", F.coalesce("label", "sig").alias("label")))
+    release(rows.sparkSession)
+    labelled = pinned(every.select("__row", "sig", "n", "bits", "prefix").join(if_small(labels, labels.count(), jaccard.FEW), "__row"))
     every = pinned(every.select("__row", "sig"))
     release(rows.sparkSession)
-    rest = jaccard.verified(pinned(jaccard.candidates(labelled, share)), rows, nodes, text, width, share)
+    pairs = pinned(jaccard.candidates(labelled, share))
+    del labelled, labels
+    release(rows.sparkSession)
+    rest = jaccard.verified(pairs, rows, nodes, text, width, share)
     labels = components(pinned(near.unionByName(rest)))
-    del labelled
     release(rows.sparkSession)
     groups = every.join(labels, F.col("sig") == F.col("node"), "left").select("__row", F.coalesce("label", "sig").alias("group"))
     out = first_rows(rows, groups, ident)
