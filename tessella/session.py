@@ -22,9 +22,11 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
+    """df, computed once and kept in the folder of spark.checkpoint.dir (a temporary one where that is unset and all runs on one machine, as in tests)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
