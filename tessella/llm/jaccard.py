@@ -3,8 +3,9 @@
 A document is the set of its hashed shingles; equal sets are one node. All sets order their shingles alike, rare ones
 first. Two sets of similarity p / q or more then share a shingle among the first n - ceil(n p / q) + 1 of either, so
 the pairs that meet at such a shingle hold every link. Only shingles that hold nodes of different groups are looked at. Parity
-bitmaps (a shingle flips one bit) differ in no more bits than the sets do in shingles and drop most other pairs without
-losing a link. What is left is compared whole, by joins.
+bitmaps (a shingle flips one bit) differ in no more bits than the sets do in shingles, and two sets that share few
+shingles of these prefixes cannot share enough behind them; both drop most other pairs without losing a link. What is
+left is compared whole, by joins.
 """
 
 from __future__ import annotations
@@ -58,12 +59,26 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def behind(n, least: Fraction):
+    """Shingles of a set of n that its prefix leaves out."""
+    return -(-n * least.numerator // least.denominator) - 1
+
+
 def prefix(hashes: np.ndarray, often: np.ndarray, least: Fraction) -> np.ndarray:
     """The shingles, rarest first by the table of counts, of which a set of that similarity shares one."""
     n = len(hashes)
-    most = n - -(-n * least.numerator // least.denominator) + 1 if n else 0
     counts = often[(hashes >> np.uint64(64 - SLOTS)).astype(np.int64)]
-    return hashes[np.argsort(counts, kind="stable")[:most]]
+    return hashes[np.argsort(counts, kind="stable")[: n - behind(n, least) if n else 0]]
+
+
+def least_shared(n: np.ndarray, m: np.ndarray, least: Fraction) -> np.ndarray:
+    """How many shingles the prefixes of linked sets of n and m share at least.
+
+    The sets share p (n + m) / (p + q) or more. What they share up to the end of the prefix that ends first is in both prefixes,
+    and the rest is behind the prefix of that set.
+    """
+    p, q = least.numerator, least.denominator
+    return -(-(n + m) * p // (p + q)) - np.maximum(behind(n, least), behind(m, least))
 
 
 def slot_counts(rows: DataFrame, text: str, width: int) -> np.ndarray:
@@ -146,7 +161,7 @@ def near_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray, group: np.nda
 
 
 def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
-    """u, v: pairs of nodes (sig, n, bits, prefix, label) with different labels that meet at a shingle of their prefixes."""
+    """u, v: pairs of nodes (sig, n, bits, prefix, label) with different labels that meet at enough shingles of their prefixes."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mixed = nodes.select(F.explode("prefix").alias("token"), "label").groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
     mixed = pinned(mixed)
@@ -175,10 +190,12 @@ def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
         bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sig), BITS)
         i, j = near_pairs(n.astype(np.int64), bits, label, token, least)
         if len(i):
-            pairs = np.unique(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            need = least_shared(n[i].astype(np.int64), n[j].astype(np.int64), least)
+            pairs, times = np.unique(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), need], axis=1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, pairs.T), pa.array(times)], names=["u", "v", "need", "times"])
 
-    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
+    met = dealt.mapInArrow(run, "u bigint, v bigint, need bigint, times bigint")
+    return met.groupBy("u", "v", "need").agg(F.sum("times").alias("times")).where("times >= need").select("u", "v")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, text: str, width: int, least: Fraction) -> DataFrame:
