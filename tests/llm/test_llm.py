@@ -6,6 +6,7 @@ import io
 import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontam, lines, lm, mixing, quality, queries, simhash, store, substring, warc
+from tessella.llm import chat, decontam, jaccard, lines, lm, mixing, quality, queries, simhash, store, substring, warc
 from tessella.llm.common import TO_LOWER
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -589,3 +590,20 @@ def test_pipeline(spark, sf_dir):
     want = sorted((r["doc_id"], len(tok.encode(r["text"], add_special_tokens=False).ids) + 1) for r in docs.collect())
     got = corpus_pipeline.run(spark, sf_dir).orderBy("start").collect()
     assert [(r["doc_id"], r["n_tokens"]) for r in got] == want
+
+
+def test_least_shared_of_prefixes_loses_no_link():
+    """Every pair of sets of similarity 0.8 or more shares as many shingles of its prefixes as the filter asks for."""
+    rng = np.random.default_rng(5)
+    often = rng.integers(0, 4, 1 << jaccard.SLOTS).astype(np.int32)
+    least, linked = Fraction(4, 5), 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 120))
+        whole = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        a, b = (np.unique(np.concatenate([whole[rng.random(n) > rng.random() / 5], rng.integers(0, 1 << 63, int(rng.integers(0, 4)), dtype=np.uint64)])) for _ in "ab")
+        both = len(np.intersect1d(a, b))
+        if both and 5 * both >= 4 * (len(a) + len(b) - both):
+            linked += 1
+            shared = len(np.intersect1d(jaccard.prefix(a, often, least), jaccard.prefix(b, often, least)))
+            assert shared >= max(1, jaccard.least_shared(np.array([len(a)]), np.array([len(b)]), least)[0])
+    assert linked > 500
