@@ -7,7 +7,8 @@ predictors look up hashed contexts (branches or words before this one) in tables
 mixer adds their logits with weights that a gate picks by level and by how much the contexts have seen. A
 document starts with the same weights by gate and refines them as it goes, segment by segment. Nothing is fitted on a
 sample or in an order, so a score depends on the counts and on its own text only, not on the layout of the table. Words
-outside the tree take its escape leaf and are spelled by interpolated letter 4-grams.
+outside the tree take its escape leaf and are spelled by interpolated letter 4-grams. The tree and its tables are of a
+fixed size, whatever the corpus; what is gathered beyond them is in `passages`, whose tables grow with it and are joined to the texts.
 So the score is a probability of the whole text, and gives its bits per byte.
 """
 
@@ -22,9 +23,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import passages
 from .common import TO_LOWER, pinned
 
 #: Words in the tree: those seen twice or more, at most so many.
@@ -51,7 +54,7 @@ RATE = 0.1
 #: Words that are scored or counted at a time: their arrays fit into a core's cache.
 CHUNK_WORDS = 25_000
 #: Slots to gather before they are added up.
-COUNT_EVENTS = 1_000_000
+COUNT_EVENTS = 3_000_000
 #: Tokens for a task that counts contexts, where there are so many.
 TASK_TOKENS = 8_000_000
 #: Counters for a worker to hold before it sends them on.
@@ -353,7 +356,7 @@ def context_counts(training: DataFrame, tree, parts: int = 64) -> DataFrame:
             for slots, slot in zip(waiting, e.slots):
                 slot *= 2
                 slot += e.bit
-                slots.append(slot)
+                slots.append(slot.astype(np.int32))
             held += len(e.bit)
             if held >= COUNT_EVENTS:
                 add()
@@ -373,6 +376,7 @@ class Mixer:
 
     def __init__(self, tree: Tree, counts: np.ndarray, spelled: np.ndarray):
         self.tree, self.spelled = tree, spelled
+        self.names = passages.mixed(np.arange(1, tree.escape + 2, dtype=np.uint64) * passages.FACTOR)
         pairs = counts.reshape(-1, 2)
         self.logit, self.trust = np.empty(len(pairs), np.float32), np.empty(len(pairs), np.uint8)
         for k in range(0, len(pairs), PIECE):
@@ -399,8 +403,8 @@ class Mixer:
                 gate += GATED[k] * self.trust[at]
         return x, gate
 
-    def score(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-        """log10 probabilities of some texts; of each token its leaf and text number; and the words of each text that are not in the tree.
+    def score(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]], pa.ListArray]:
+        """log10 probabilities of some texts; of each token its leaf and text number; the words of each text that are not in the tree; and its passages.
 
         All texts go through their segments side by side. The weights that a text adds to those of the
         gates follow the errors of its earlier segments only, so its score depends on nothing but itself and the model.
@@ -412,7 +416,7 @@ class Mixer:
         order = np.argsort(segment.astype(np.uint16) if segment.max(initial=0) < 1 << 16 else segment, kind="stable")
         e = events(tree, leaf, first, order)
         x, gate = self.inputs(e)
-        total = np.bincount(doc, tree.fixed[leaf], len(docs))
+        each = tree.fixed[leaf].astype(float)
         # From here on an event's inputs have the sign of its bit, so that its probability is 1 / (1 + exp(-z)).
         x *= (2 * e.bit - 1).astype(np.float32)
         fixed = np.zeros(len(gate), np.float32)
@@ -435,16 +439,22 @@ class Mixer:
             g = np.add.reduceat(o / (1 + o) * xs, starts[i:j] - a, axis=1).T / SEGMENT
             squares[own] += g * g
             delta[own] += RATE * g / np.sqrt(squares[own])
-        if len(who):
-            total -= np.bincount(who, np.add.reduceat(np.log(1 + odds), starts[:-1]), len(docs)) / LN10
+        if len(who):  # then each token has a decision
+            each[order] -= np.add.reduceat(np.log(1 + odds), np.cumsum(e.depth) - e.depth) / LN10
+        names = self.names[leaf]
         at = [i for i in np.flatnonzero(leaf == tree.escape).tolist() if flat[i]]
         rare: list[list[bytes]] = [[] for _ in docs]
         for i, d in zip(at, doc[at].tolist()):
             rare[d].append(flat[i])
         if at:
             index, which, _ = letter_grams([flat[i] for i in at])
-            total += np.bincount(doc[at][which], self.spelled[index], len(docs))
-        return total, leaf, doc, rare
+            each[at] += np.bincount(which, self.spelled[index], len(at))
+            names[at] = np.array([xxhash.xxh64_intdigest(flat[i]) for i in at], np.uint64)
+        cuts, context, passage = passages.cut(names, first)
+        single = np.add.reduceat(each, cuts) if len(cuts) else each
+        found = pa.StructArray.from_arrays([pa.array(context.view(np.int64)), pa.array(passage.view(np.int64)), pa.array(single)], names=["context", "passage", "single"])
+        ends = np.searchsorted(cuts, [*np.flatnonzero(first), len(leaf)])
+        return np.bincount(doc, each, len(docs)), leaf, doc, rare, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
 
 # Over Spark
@@ -455,7 +465,7 @@ def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", held_out:
 
     Trained on the documents that are not held_out (by default crc32(ident) mod 7 = 2). Null texts are empty: their one token
     is the end. Without training documents all tokens are unknown. Null idents are trained on; repeated rows
-    are scored each. bits_per_byte is null for empty texts. Words within max_words go with the model to all executors; the
+    are scored each, and know each other's passages. A training document's own words are in the counts of decisions, but not in those of passages. bits_per_byte is null for empty texts. Words within max_words go with the model to all executors; the
     counts of the others are joined.
     """
     spark = docs.sparkSession
@@ -490,7 +500,7 @@ def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", held_out:
         row = TaskContext.get().partitionId() << 40
         for batch, docs in chunks(batches):
             m = model.value
-            score, leaf, doc, rare_words = m.score(docs)
+            score, leaf, doc, rare_words, found = m.score(docs)
             sizes = np.bincount(doc, minlength=len(docs))
             inside = leaf < m.tree.escape
             base = np.bincount(doc[inside], m.tree.known[leaf[inside]], len(docs))
@@ -500,19 +510,20 @@ def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", held_out:
             words_times = pa.StructArray.from_arrays([words, pa.array([n for c in times for n in c.values()], pa.int64())], names=["word", "times"])
             rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, times)]), pa.int32()), words_times)
             text_bytes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
-            columns = [pa.array(np.arange(row, row + len(docs))), batch.column("ident"), batch.column("held_out"), pa.array(sizes), pa.array(known, pa.int64()), pa.array(base), pa.array(score), text_bytes, rare]
+            columns = [pa.array(np.arange(row, row + len(docs))), batch.column("ident"), batch.column("held_out"), pa.array(sizes), pa.array(known, pa.int64()), pa.array(base), pa.array(score), text_bytes, rare, found]
             row += len(docs)
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "ident", "held_out", "n_tokens", "known", "base", "score", "bytes", "rare"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "ident", "held_out", "n_tokens", "known", "base", "score", "bytes", "rare", "passages"])
 
-    scores = pinned(rows.mapInArrow(run, f"row bigint, ident {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, bytes bigint, rare array<struct<word: string, times: bigint>>"))
+    scores = pinned(rows.mapInArrow(run, f"row bigint, ident {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, bytes bigint, rare array<struct<word: string, times: bigint>>, passages {passages.PASSAGES}"))
     rest = scores.select("row", F.inline("rare")).join(counts, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"))
-    joined = scores.drop("rare").join(rest, "row", "left")
+    joined = scores.drop("rare", "passages").join(rest, "row", "left").join(passages.gains(scores), "row", "left")
+    score = F.col("score") + F.coalesce("gain", F.lit(0.0))
     each = math.log10(tokens_seen + types + 1)
     return joined.select(
         "ident", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens_seen).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
-        F.when(F.col("bytes") > 0, -F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"),
+        score.alias("score"),
+        F.when(F.col("bytes") > 0, -score * math.log2(10) / F.col("bytes")).alias("bits_per_byte"),
     )

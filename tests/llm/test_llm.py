@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontam, jaccard, lines, lm, mixing, quality, queries, simhash, store, substring, warc
+from tessella.llm import chat, decontam, jaccard, lines, lm, mixing, passages, quality, queries, simhash, store, substring, warc
 from tessella.llm.common import TO_LOWER
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -211,7 +211,7 @@ def naive_decisions(tree, tokens):
 
 
 def naive_score(tree, counts, spelled, start, tokens):
-    total, delta, squares = 0.0, np.zeros(lm.INPUTS), np.ones(lm.INPUTS)
+    each, delta, squares = [], np.zeros(lm.INPUTS), np.ones(lm.INPUTS)
     slope = np.zeros(lm.INPUTS)
     for i, (word, (leaf, path)) in enumerate(zip(tokens, naive_decisions(tree, tokens))):
         if i and i % lm.SEGMENT == 0:
@@ -219,7 +219,7 @@ def naive_score(tree, counts, spelled, start, tokens):
             squares += g * g
             delta += lm.RATE * g / np.sqrt(squares)
             slope = np.zeros(lm.INPUTS)
-        total += float(tree.fixed[leaf])
+        total = float(tree.fixed[leaf])
         if leaf == tree.escape and word:
             total += float(spelled[lm.letter_grams([word])[0]].sum())
         for node, bit, slots in path:
@@ -230,7 +230,30 @@ def naive_score(tree, counts, spelled, start, tokens):
             p = 1 / (1 + math.exp(-float(((start[gate] + delta) * x).sum())))
             total += math.log10(p)
             slope += (1 - p) * x
-    return total
+        each.append(total)
+    return each
+
+
+def naive_passages(tree, tokens):
+    """(context, words, start, end) of each passage; cuts are taken from the same hash of two words."""
+    name = {w: passages.mixed(np.array([(tree.ids[w] + 1) * int(passages.FACTOR) & (1 << 64) - 1], np.uint64)) if w in tree.ids else np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in tokens}
+    starts = [0]
+    for i in range(2, len(tokens)):
+        if passages.mixed(name[tokens[i - 1]] * passages.FACTOR + name[tokens[i - 2]])[0] % passages.MEAN_WORDS == 0:
+            starts.append(i)
+    return [(tuple(tokens[max(0, i - passages.CONTEXT) : i]), tuple(tokens[i:j]), i, j) for i, j in zip(starts, [*starts[1:], len(tokens)])]
+
+
+def naive_gain(followed, own, each, parts):
+    """What the passages seen after each context add; own is 1 for a training text, which is left out of its counts."""
+    gain = 0.0
+    for context, words, i, j in parts:
+        seen = followed[context] - Counter({words: own})
+        n, t = sum(seen.values()), len(seen)
+        if n:
+            single = sum(each[i:j])
+            gain += (math.log10(t / (n + t)) if not seen[words] else math.log10(t / (n + t) * 10**single + seen[words] / (n + t)) - single)
+    return gain
 
 
 def test_lm_scores_are_those_of_a_naive_scorer_whatever_the_layout(spark):
@@ -247,8 +270,36 @@ def test_lm_scores_are_those_of_a_naive_scorer_whatever_the_layout(spark):
     one = {r["ident"]: r["score"] for r in lm.scored(docs.coalesce(1)).collect()}
     seven = {r["ident"]: r["score"] for r in lm.scored(docs.repartition(7)).collect()}
     assert seven == pytest.approx(one, rel=1e-6)
+    followed = defaultdict(Counter)
+    for t in training:
+        for context, words, _, _ in naive_passages(tree, t):
+            followed[context][words] += 1
+    gains = []
     for i in sorted(texts)[::9]:
-        assert one[i] == pytest.approx(naive_score(tree, counts, spelled, start, texts[i]), rel=1e-4)
+        each = naive_score(tree, counts, spelled, start, texts[i])
+        gains.append(naive_gain(followed, int(zlib.crc32(str(i).encode()) % 7 != 2), each, naive_passages(tree, texts[i])))
+        assert one[i] == pytest.approx(sum(each) + gains[-1], rel=1e-4, abs=1e-3)
+    assert min(gains) < 0 < max(gains)
+
+
+def test_lm_texts_seen_elsewhere_score_apart(spark):
+    draw = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in draw.integers(0, 3000, 400)) for _ in range(60)]
+    rows = [(k, x) for k, x in enumerate(texts)] + [(100 + k, texts[k]) for k in range(20)]
+    got = by_id(lm.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), held_out=F.lit(False)), "ident")
+    twice = [got[k]["bits_per_byte"] for k in range(20)]
+    once = [got[k]["bits_per_byte"] for k in range(20, 60)]
+    assert max(twice) < 0.5 * min(once)
+
+
+def test_lm_passages_with_hot_contexts(spark, monkeypatch):
+    """One context before a third of all passages; broadcast and shuffled joins give the same."""
+    parts = [[(7, k % 5 if k % 2 else k, -20.0), (k, k, -30.0), (k % 3, 1, -400.0)] for k in range(300)]
+    rows = spark.createDataFrame([(k, k % 4 == 0, p) for k, p in enumerate(parts)], f"row bigint, held_out boolean, passages {passages.PASSAGES}")
+    hot = {r["row"]: r["gain"] for r in passages.gains(rows).collect()}
+    monkeypatch.setattr(passages, "HOT_SHARE", 1.0)
+    cold = {r["row"]: r["gain"] for r in passages.gains(rows).collect()}
+    assert hot.keys() == cold.keys() == set(range(300)) and hot == pytest.approx(cold)
 
 
 def test_lm_probabilities_sum_to_one():
