@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, lm, mixing, quality, simhash, store, substring, warc
+from . import chat, decontam, extract, lines, lm, mixing, quality, simhash, spelling, store, substring, warc, whitening
 from .common import table
 
 #: Fixed value: words for DuckDB.
@@ -165,6 +165,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -172,5 +173,59 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, written).withColumnRenamed("ident", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_lm_scores, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_warc, op8_chat_preferences, op9_simhash, op10_token_store)}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_chat_preferences": OP8_SQL}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, "embedding", model) if model else None
+    return whitening.whitened(vectors, model).select(F.col("ident").alias("vec_id"), "component", "n", "deviation", "whitened", "explained", F.lit(error).cast("double").alias("identity_error"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: crc32 goes byte by byte through its table; words one edit apart are joined by what one deletion leaves.
+OP12_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+bytes AS (SELECT list(('0x' || x)::BIGINT) AS b, s FROM (
+  SELECT s, unnest(regexp_extract_all(hex(encode(s)), '..')) AS x, generate_subscripts(regexp_extract_all(hex(encode(s)), '..'), 1) AS i FROM (
+    SELECT DISTINCT coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+    WHERE length(run) >= 7) ORDER BY s, i) GROUP BY s),
+hashed AS (
+  SELECT s, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM runs JOIN hashed USING (s))
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+shorter AS (SELECT DISTINCT word, n, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM shorter a JOIN shorter b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.less = b.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, (list({'less': -n, 'near': near} ORDER BY -n, encode(near)))[1] AS x FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -x.less >= 10 * w.n THEN x.near END AS form, CASE WHEN -x.less >= 10 * w.n THEN -x.less END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+way AS (
+  SELECT word, word AS reached, 0 AS k FROM forms
+  UNION ALL SELECT way.word, form, k + 1 FROM way JOIN forms f ON f.word = way.reached WHERE form IS NOT NULL),
+roots AS (SELECT word, arg_max(reached, k) AS root FROM way GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract.extracted(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("ident").alias("page_id"), "url", "text", "n_chars")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_lm_scores, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_warc, op8_chat_preferences, op9_simhash, op10_token_store, op11_whitening, op12_spelling_variants, op13_main_text)}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_chat_preferences": OP8_SQL, "op12_spelling_variants": OP12_SQL}
