@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import cleanup, decodes
 from ..operators import edits as e
 from ..operators import segments as s
 from ..operators import text as t
@@ -53,6 +54,38 @@ def repeated_words_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.repetitions_allowed(edited(spark, sf_dir), spark.createDataFrame([("w0",)], "word string"))
 
 
+def timed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits with taint and times: of some hundredths each, one after the other; 'w3' is a word that does not count."""
+    at = Window.partitionBy("utt").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.when(F.col("edit") == "del", 0).otherwise(F.col("place") * 13 % 67 + 3)
+    rows = e.tainted(edited(spark, sf_dir), remove_deletions=False).withColumn("__n", size).withColumn("__upto", F.sum("__n").over(at))
+    return rows.select("utt", "place", ((F.col("__upto") - F.col("__n")) / 100).alias("start"), (F.col("__n") / 100).alias("dur"), "hyp_word", "ref_word", "edit", "tainted")
+
+
+LOOSE = cleanup.Limits(least=0.3, least_new=0.5, edge_silence=0.2, edge_unscored=0.2, inner_silence=0.6, inner_unscored=0.6, junk=0.4)
+
+
+@query()
+def segments_from_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cleanup.segments_from_edits(timed_edits(spark, sf_dir), spark.createDataFrame([("w3",)], "word string"), LOOSE)
+    return rows.select("utt", "segment", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "text")
+
+
+@query()
+def words_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = timed_edits(spark, sf_dir)
+    return cleanup.words_lost(rows, cleanup.segments_from_edits(rows, spark.createDataFrame([("w3",)], "word string"), LOOSE))
+
+
+@query()
+def segments_from_decodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user is a recording; each event is a run of 1 to 89 frames of silence, noise or speech."""
+    kind = F.col("event_id") * 7919 % 10
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("recording"), F.col("event_id"), F.when(kind < 5, 0).when(kind < 6, 1).otherwise(2).alias("label"), (F.col("event_id") * 31 % 89 + 1).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("recording").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return decodes.segments_from_decodes(rows.select("recording", (upto - F.col("n")).alias("start"), upto.alias("end"), "label"), most=5.0, hard_most=8.0)
+
+
 @query(f"""WITH {SQL_EDITS}, u AS (SELECT utt, utt % 5 AS speaker, max((edit <> 'cor')::INT) AS wrong FROM edits GROUP BY utt)
 SELECT speaker, count(*) AS sentences, sum(wrong)::BIGINT AS wrong, round(sum(wrong) / count(*), 9) AS ser FROM u GROUP BY speaker""")
 def sentence_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +94,13 @@ def sentence_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT user_id AS utt, event_id AS start, event_type AS word, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events)
-SELECT utt, start, word, CASE WHEN start % 3 = 0 THEN 'S' ELSE 'C' END AS op FROM w WHERE place <= 30""")
+SELECT utt, start, word, CASE WHEN start % 3 = 0 THEN 'S' ELSE 'C' END AS op FROM w""")
 def words_with_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's events, and the outcomes of the first thirty of them: the later ones have none."""
+    """A user's events and their outcomes; the outcomes go on for one place more, which has no word."""
     words = table(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), F.col("event_id").alias("start"), F.col("event_type").alias("word"))
-    listed = words.groupBy("utt").agg(F.slice(F.array_sort(F.collect_list(F.struct("start", "word"))), 1, 30).alias("l"))
-    outcomes = listed.select("utt", F.posexplode("l").alias("place", "x")).select("utt", "place", F.when(F.col("x.start") % 3 == 0, "S").otherwise("C").alias("op"), F.col("x.word").alias("hyp_word"))
+    place = F.row_number().over(Window.partitionBy("utt").orderBy("start")) - 1
+    outcomes = words.select("utt", place.alias("place"), F.when(F.col("start") % 3 == 0, "S").otherwise("C").alias("op"), F.col("word").alias("hyp_word"))
+    outcomes = outcomes.unionByName(words.groupBy("utt").agg(F.count("*").cast("int").alias("place"), F.lit("I").alias("op"), F.lit("more").alias("hyp_word")))
     return e.with_outcomes(words, outcomes)
 
 
