@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import words
+from ..operators import phones
 from ..operators import text as t
 from ..session import table
 from . import query
@@ -212,3 +213,11 @@ def bpe_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "benchmark").select(F.explode(words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
     rules = t.learn_bpe(counts, 20)
     return counts.select("word", F.array_join(t.apply_bpe(F.col("word"), rules), " ").alias("symbols"))
+
+
+@query()
+def phone_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of the different words of all documents: which follows which three, in at most 400 n-grams above bigrams."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("w")).distinct()
+    model = phones.pruned(phones.fitted(words, F.split("w", ""), 4, 2), 400, 4.0)
+    return phones.as_table(model).select("history", "word", F.round("logp", 6).alias("logp"), F.round("backoff", 6).alias("backoff"))
