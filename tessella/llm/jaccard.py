@@ -10,13 +10,13 @@ left is compared whole, by joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TO_LOWER, if_small, pinned, release
@@ -123,17 +123,33 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
 # Pairs
 
 
-def near_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray, group: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs inside a group, with different labels, whose sizes and bitmaps allow the similarity. Rows are sorted by group and label."""
+def near_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray, group: np.ndarray, place: np.ndarray, before: np.ndarray, held: np.ndarray, least: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs inside a group, with different labels, that may have the similarity, some at a time. Rows are sorted by group and label.
+
+    A row is a set that holds the group's shingle at `place` of its prefix, behind `before` others that sets of other labels hold too, of `held`
+    in all. So two sets share no more of their prefixes than either holds, and no more altogether than either has before the shingle and
+    behind it. Sizes and bitmaps bound what they share as well.
+    """
     p, q = least.numerator, least.denominator
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def check(i: np.ndarray, j: np.ndarray) -> None:
         fits = p * np.maximum(n[i], n[j]) <= q * np.minimum(n[i], n[j])
         i, j = i[fits], j[fits]
+        fits = least_shared(n[i], n[j], least) <= np.minimum(held[i], held[j])
+        i, j = i[fits], j[fits]
+        most = np.minimum(before[i], before[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+        fits = most * (p + q) >= (n[i] + n[j]) * p
+        i, j = i[fits], j[fits]
         differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
         fits = differ * (p + q) <= (n[i] + n[j]) * (q - p)
-        found.append((i[fits], j[fits]))
+        if fits.any():
+            found.append((i[fits], j[fits]))
+
+    def taken(least_many: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if found and sum(len(i) for i, _ in found) >= least_many:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+            found.clear()
 
     new = np.concatenate([[True], group[1:] != group[:-1], [True]])
     edges = np.flatnonzero(new)
@@ -146,6 +162,7 @@ def near_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray, group: np.nda
             break
         same &= label[i] != label[j]
         check(i[same], j[same])
+        yield from taken(STEP)
     # In large groups the rows of each label meet those of the labels behind it, never each other.
     runs = np.flatnonzero(new | np.concatenate([[True], label[1:] != label[:-1], [True]]))
     end_of = np.repeat(edges[1:], sizes)
@@ -157,7 +174,8 @@ def near_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray, group: np.nda
         for k in range(a, b, step):
             i, j = np.divmod(np.arange((min(k + step, b) - k) * (end - b)), end - b)
             check(k + i, b + j)
-    return tuple(np.concatenate(x) for x in zip(*found))
+            yield from taken(STEP)
+    yield from taken(1)
 
 
 def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
@@ -166,10 +184,12 @@ def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
     mixed = nodes.select(F.explode("prefix").alias("token"), "label").groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
     mixed = pinned(mixed)
     release(nodes.sparkSession)
-    shared = pinned(nodes.select(F.explode("prefix").alias("token"), "sig").join(if_small(mixed, mixed.count(), FEW), "token", "left_semi"))
+    shared = pinned(nodes.select(F.posexplode("prefix").alias("place", "token"), "sig").join(if_small(mixed, mixed.count(), FEW), "token", "left_semi"))
     del mixed
     release(nodes.sparkSession)
-    dealt = shared.join(nodes, "sig").select("token", "sig", "n", "bits", "label").repartition(parts, "token").sortWithinPartitions("token", "label", "sig")
+    of = Window.partitionBy("sig")
+    placed = shared.withColumns({"before": F.row_number().over(of.orderBy("place")) - 1, "held": F.count("*").over(of).cast("int")})
+    dealt = placed.join(nodes.select("sig", "n", "bits", "label"), "sig").select("token", "sig", "n", "bits", "label", "place", "before", "held").repartition(parts, "token").sortWithinPartitions("token", "label", "sig")
 
     def run(batches):
         held = None
@@ -186,11 +206,11 @@ def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
     def emit(table):
         if not len(table):
             return
-        token, sig, n, label = (table.column(c).to_numpy() for c in ("token", "sig", "n", "label"))
+        token, sig, label = (table.column(c).to_numpy() for c in ("token", "sig", "label"))
+        n, place, before, held = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "before", "held"))
         bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sig), BITS)
-        i, j = near_pairs(n.astype(np.int64), bits, label, token, least)
-        if len(i):
-            need = least_shared(n[i].astype(np.int64), n[j].astype(np.int64), least)
+        for i, j in near_pairs(n, bits, label, token, place, before, held, least):
+            need = least_shared(n[i], n[j], least)
             pairs, times = np.unique(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), need], axis=1), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([*map(pa.array, pairs.T), pa.array(times)], names=["u", "v", "need", "times"])
 
