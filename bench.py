@@ -9,6 +9,7 @@ import json
 import os
 import sys
 import time
+from importlib.util import find_spec
 
 from tessella import plans
 from tessella.session import local_session
@@ -27,13 +28,11 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     found = dict(plans.QUERIES)
     names = list(HEADLINE)
-    try:
+    if find_spec("tessella.llm"):
         from tessella.llm import queries as llm
 
         found |= llm.QUERIES
         names += list(llm.QUERIES)
-    except ImportError:
-        pass
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
     for name in names:

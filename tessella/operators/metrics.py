@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import running_sums
 from ..session import pinned
+from .keyed import small
 
 
 def sweep(trials: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
@@ -79,7 +80,7 @@ def cavg(scores: DataFrame, trials: DataFrame, n_thresholds: int = 21, p_target:
     known = scores.join(trials, "utt")
     langs = known.select("lang").distinct()
     other = langs.select(F.col("lang").alias("utt_lang"), F.lit(True).alias("__known"))
-    known = known.join(F.broadcast(other), "utt_lang", "left")
+    known = known.join(small(other), "utt_lang", "left")
     known = known.withColumn("utt_lang", F.when(F.col("__known"), F.col("utt_lang").cast("string")).otherwise("")) if open_set else known.where("__known")
     known = known.withColumn("lang", F.col("lang").cast("string")).withColumn("utt_lang", F.col("utt_lang").cast("string"))
     spread = known.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.countDistinct("lang").alias("n_langs"))

@@ -6,13 +6,15 @@ bounded by its own length.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import placed, running_sums
 from ..session import pinned
 from .keyed import overlaps
 
@@ -124,38 +126,88 @@ def prefer_lower(rows: DataFrame, group: str, key: str, errors: str) -> DataFram
     return by_recording(rows, group, [key, "start", "end", errors], run, f"{group} {fields[group]}, {key} {fields[key]}, start double, end double, {errors} {fields[errors]}")
 
 
+#: Lengths that differ by less are equal.
+TINY = 1e-5
+
+
 def grouped(durations: list[float], least: float) -> list[tuple[int, int]]:
     """Ranges of consecutive items that each last at least `least`, if all together do.
 
-    The shortest group below the least is joined to the shorter of its neighbours that suffices, or else to the shorter one.
+    From the last item back, a range that is too short takes in the one before it or the ranges behind it, until it is long enough: that
+    side which makes it so, the shorter one if both do, and the right one if neither or both alike.
     """
-    ranges = [(i, i + 1) for i in range(len(durations))]
-    sums = list(durations)
-    tiny = 1e-5
-    while len(ranges) > 1:
-        low = min(range(len(sums)), key=lambda i: (round(sums[i], 5), i))
-        if sums[low] >= least - tiny:
-            break
-        sides = [j for j in (low - 1, low + 1) if 0 <= j < len(sums)]
-        enough = [j for j in sides if sums[j] + sums[low] >= least - tiny]
-        other = min(enough or sides, key=lambda j: (round(sums[j], 5), j))
-        a, b = sorted((low, other))
-        ranges[a], sums[a] = (ranges[a][0], ranges[b][1]), sums[a] + sums[b]
-        del ranges[b], sums[b]
-    return ranges
+    ranges: list[tuple[int, int, float]] = []  # those behind, the nearest last
+    total, end = 0.0, len(durations)
+    for i in range(len(durations) - 1, -1, -1):
+        total, handed = durations[i] + total, False
+        while total < least - TINY and (i or ranges):
+            left, right = durations[i - 1] if i else None, ranges[-1][2] if ranges else None
+            if right is None or (left is not None and left + total >= least - TINY and (right + total < least - TINY or left < right - TINY)):
+                handed = True  # the item before goes on with it
+                break
+            _, end, more = ranges.pop()
+            total += more
+        if not handed:
+            ranges.append((i, end, total))
+            total, end = 0.0, i
+    return [(a, b) for a, b, _ in reversed(ranges)]
+
+
+def together(rows: DataFrame, within: list[str], name: str, least: float) -> DataFrame:
+    """rows (chain, place, `name`, length) of chains with the name of the first row of each row's range, as combined, and the range's length, as total."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in [*within, name]}
+    chains = rows.groupBy(*within, "chain").agg(F.array_sort(F.collect_list(F.struct("place", F.col(name).alias("name"), "length"))).alias("l")).select(*within, F.col("l.name").alias("names"), F.col("l.length").alias("lengths"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, own, first, total = [], [], [], []
+            names, lengths = batch.column("names"), batch.column("lengths").to_pylist()
+            offsets = names.offsets.to_pylist()
+            for i, x in enumerate(lengths):
+                for a, b in grouped(x, least):
+                    at += [i] * (b - a)
+                    own += range(offsets[i] + a, offsets[i] + b)
+                    first += [offsets[i] + a] * (b - a)
+                    total += [sum(x[a:b])] * (b - a)
+            rows_at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows_at) for c in within], names.values.take(pa.array(own, pa.int64())), names.values.take(pa.array(first, pa.int64())), pa.array(total, pa.float64())], names=[*within, name, "combined", "total"])
+
+    return chains.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in within], f"`{name}` {kinds[name]}", f"combined {kinds[name]}", "total double"]))
 
 
 def combined(rows: DataFrame, group: str, key: str, length: str, least: float) -> DataFrame:
-    """group, key, combined: which rows of a group to join so that each lasts long enough; named by the first."""
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    """group, key, combined: which rows of a group to join so that each lasts long enough; named by the first.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        names = pdf[key].tolist()
-        first = [names[a] for a, b in grouped(pdf[length].tolist(), least) for _ in range(a, b)]
-        return pd.DataFrame({group: pdf[group], key: names, "combined": first})
+    Between two rows that are long enough nothing is ever joined, so a group falls into chains there, and a chain is a row in an Arrow batch.
+    """
+    return in_groups(rows, group, key, length, least).drop("total")
 
-    return by_recording(rows, group, [key, length], run, f"{group} {fields[group]}, {key} {fields[key]}, combined {fields[key]}")
+
+def in_groups(rows: DataFrame, group: str, key: str, length: str, least: float) -> DataFrame:
+    w = Window.partitionBy(group).orderBy(key)
+    long = F.col("length") >= least - TINY
+    rows = rows.select(group, key, F.col(length).cast("double").alias("length")).withColumn("place", F.row_number().over(w))
+    rows = rows.withColumn("cut", long & F.coalesce(F.lag(long).over(w), F.lit(False)))
+    chained = rows.withColumn("chain", F.sum(F.col("cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return together(chained, [group], key, least)
+
+
+def combined_across(rows: DataFrame, group: str, key: str, length: str, least: float) -> DataFrame:
+    """group, key, combined and leader (the group that gives most of the joined row): as `combined`, and then groups that are too short as a whole are joined with what stands beside them in the order of groups.
+
+    The order over all groups comes from ranges, and neighbours by their place in it, so no task has it all.
+    """
+    inner = pinned(in_groups(rows, group, key, length, least))
+    heads = placed(inner.groupBy(group, "combined").agg(F.first("total").alias("length")), [F.col(group), F.col("combined")], "place")
+    heads = pinned(heads)
+    before = heads.select((F.col("place") + 1).alias("place"), (F.col("length") >= least - TINY).alias("__long"))
+    cut = heads.join(before, "place", "left").withColumn("__cut", ((F.col("length") >= least - TINY) & F.coalesce("__long", F.lit(False))).cast("int"))
+    chained = running_sums(cut, [F.col("place")], {"chain": F.col("__cut")}).withColumn("__head", F.struct(F.col(group).alias("g"), F.col("combined").alias("k")))
+    joined = together(chained.select("chain", "place", "__head", "length"), [], "__head", least).select(F.col("__head.g").alias(group), F.col("__head.k").alias("__k"), F.col("combined").alias("__to"))
+    out = inner.join(joined, (inner[group].eqNullSafe(joined[group])) & (F.col("combined") == F.col("__k"))).select(inner[group], key, F.col("__to"))
+    sizes = out.join(rows.select(group, key, F.col(length).alias("__n")), [group, key]).groupBy("__to", group).agg(F.sum("__n").alias("__n"))
+    leader = sizes.groupBy("__to").agg(F.max_by(group, F.struct("__n", group)).alias("leader"))
+    return out.join(leader, "__to").select(group, key, F.col("__to.k").alias("combined"), "leader")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -164,7 +216,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Label propagation with pointer jumping: each round takes the least label among neighbours, and then the
     label of that label; every round is written to the shared folder.
     """
-    both = pinned(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    # Pinned once they are distinct, so that no round does it again.
+    both = pinned(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = pinned(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "node"))
     while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))

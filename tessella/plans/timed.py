@@ -30,7 +30,7 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def padded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spans(spark, sf_dir, "click", 1800, 600).withColumn("key", F.monotonically_increasing_id())
+    rows = spans(spark, sf_dir, "click", 1800, 600)
     rows = rows.select("user_id", F.col("start").alias("key"), F.col("start").cast("double"), F.col("end").cast("double"))
     return s.padded(rows, "user_id", "key", 900.0, 900.0)
 
@@ -53,6 +53,13 @@ def combined_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.combined(docs, "source", "doc_id", "length", 1500.0)
 
 
+@query()
+def combined_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of an order, and orders whose items are too few together with their neighbours."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_quantity").cast("double").alias("length"))
+    return s.combined_across(items, "group", "key", "length", 60.0)
+
+
 @query()
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders that share a part, one after the other."""

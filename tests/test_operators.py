@@ -76,6 +76,56 @@ def test_grouping_cases(least, durations, want):
     assert segments.grouped(durations, least) == want
 
 
+def stacked(durations, least):
+    """The rule with a stack of short items, the last one on top: each is joined to a neighbour until it is long enough or part of one before it."""
+    of = [[i] for i in range(len(durations))]  # groups in order
+    size = lambda g: sum(durations[i] for i in g)
+    stack = [i for i, x in enumerate(durations) if x < least - 1e-5]
+    while stack:
+        k = next((k for k, g in enumerate(of) if g[0] == stack[-1]), None)
+        if k is None or size(of[k]) >= least - 1e-5:
+            stack.pop()
+            continue
+        left, right, own = of[k - 1] if k else None, of[k + 1] if k + 1 < len(of) else None, size(of[k])
+        if not left and not right:
+            break
+        if not right or (left and size(left) + own >= least - 1e-5 and (size(right) + own < least - 1e-5 or size(left) < size(right) - 1e-5)):
+            of[k - 1] += of.pop(k)
+        else:
+            of[k] += of.pop(k + 1)
+    return [(g[0], g[-1] + 1) for g in of]
+
+
+@given(st.lists(st.sampled_from([0.1, 0.2, 0.3, 0.5, 0.8, 1.1, 2.0]), min_size=1, max_size=14), st.sampled_from([0.25, 0.6, 1.0, 1.5]))
+@settings(max_examples=400, deadline=None)
+def test_grouping_in_order_of_a_stack(durations, least):
+    assert segments.grouped(durations, least) == stacked(durations, least)
+
+
+def test_combined_within_and_across_groups(spark):
+    r = random.Random(11)
+    lists = {f"g{i:02d}": [r.choice([1, 2, 3, 5, 9, 12]) / 10 for _ in range(r.choice([1, 1, 2, 9]))] for i in range(60)}
+    rows = [(g, f"{g}-{i:02d}", x) for g, xs in lists.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "g string, k string, n double").repartition(5)
+    least, want, heads = 1.0, {}, []
+    for g, xs in lists.items():
+        for a, b in stacked(xs, least):
+            want |= {(g, f"{g}-{i:02d}"): f"{g}-{a:02d}" for i in range(a, b)}
+            heads.append((g, f"{g}-{a:02d}", sum(xs[a:b])))
+    assert {(x["g"], x["k"]): x["combined"] for x in segments.combined(df, "g", "k", "n", least).collect()} == want
+    to = {}
+    for a, b in stacked([n for *_, n in heads], least):
+        share = {}
+        for g, _, n in heads[a:b]:
+            share[g] = share.get(g, 0) + n
+        most = max(share, key=lambda g: (round(share[g], 6), g))
+        to |= {heads[i][:2]: (heads[a][1], most) for i in range(a, b)}
+    got = {(x["g"], x["k"]): (x["combined"], x["leader"]) for x in segments.combined_across(df, "g", "k", "n", least).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(g, k): to[g, c][0] for (g, k), c in want.items()}
+    assert sum(got[k][1] != to[k[0], c][1] for k, c in want.items()) <= 2 and len(set(v[0] for v in got.values())) < len(heads)  # leaders: sums that tie but for rounding
+    assert segments.combined_across(df.where("false"), "g", "k", "n", least).count() == 0
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
