@@ -658,3 +658,35 @@ def test_least_shared_of_prefixes_loses_no_link():
             shared = len(np.intersect1d(jaccard.prefix(a, often, least), jaccard.prefix(b, often, least)))
             assert shared >= max(1, jaccard.least_shared(np.array([len(a)]), np.array([len(b)]), least)[0])
     assert linked > 500
+
+
+def test_bounds_on_pairs_lose_no_link(monkeypatch):
+    """Pairs of sets that share a hot passage, cut into small slices: every link between labels is among them, and few others are."""
+    monkeypatch.setattr(jaccard, "STEP", 64)
+    rng = np.random.default_rng(3)
+    least, often = Fraction(4, 5), np.zeros(1 << jaccard.SLOTS, np.int32)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    passage, base = draw(30), draw(60)
+    sets = [np.unique(np.concatenate([passage, draw(int(rng.integers(5, 90)))])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([base[rng.random(60) > rng.random() / 4], draw(int(rng.integers(0, 8)))])) for _ in range(60)]
+    label = rng.integers(0, 50, len(sets))
+    n = np.array([len(x) for x in sets])
+    bits = np.stack([jaccard.bitmap(x) for x in sets]).view(np.uint64)
+    heads = [jaccard.prefix(x, often, least) for x in sets]
+    labels_of = defaultdict(set)
+    for k, h in enumerate(heads):
+        for token in h.tolist():
+            labels_of[token].add(label[k])
+    rows = []
+    for k, h in enumerate(heads):
+        held = [(i, t) for i, t in enumerate(h.tolist()) if len(labels_of[t]) > 1]
+        rows += [(t, label[k], k, i, before, len(held)) for before, (i, t) in enumerate(held)]
+    token, lab, at, place, before, held = map(np.array, zip(*sorted(rows)))
+    found, slices = Counter(), 0
+    for i, j in jaccard.near_pairs(n[at], bits[at], lab, token, place, before, held, least):
+        slices += 1
+        found.update({(min(a, b), max(a, b)) for a, b in zip(at[i].tolist(), at[j].tolist())})
+        assert (lab[i] != lab[j]).all() and (token[i] == token[j]).all()
+    linked = {(a, b) for a in range(len(sets)) for b in range(a) for a, b in [(b, a)] if label[a] != label[b] and 5 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 4 * (n[a] + n[b] - both)}
+    assert len(linked) > 50 and linked <= found.keys() and slices > 3
+    assert len(found) < len(sets) * (len(sets) - 1) // 4
