@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import uniform
 from ..functions.prefix import placed, running_sums
+from ..session import pinned
 from .keyed import in_blocks
 
 
@@ -109,6 +110,55 @@ def group_parts(groups: DataFrame, group: str, size: str, n: int) -> DataFrame:
     return upto.withColumn("part", F.least(F.floor((F.col("__upto") - F.col(size) / 2) * n / F.lit(total)), F.lit(n - 1)).cast("int")).drop("__upto")
 
 
+def balanced_parts(groups: DataFrame, group: str, size: str, n: int, around: int | None = None) -> DataFrame:
+    """Contiguous parts of whole groups (one row each), in whose boundaries no move of one group makes two neighbours more alike.
+
+    Parts start with equal numbers of groups; then, from part to part until nothing changes, the group at an end goes over if that brings the sums of the two
+    parts closer. The driver holds the n sums and the sizes of `around` groups to both sides of each boundary, which are fetched anew where a boundary
+    leaves them. Fewer groups than parts are an error; sizes are whole numbers, a null one counts as 0.
+    """
+    rows = pinned(placed(groups.withColumn("__size", F.coalesce(F.col(size).cast("long"), F.lit(0))), [F.col(group)]))
+    count = rows.count()
+    if count < n:
+        raise ValueError(f"{count} groups do not make {n} parts")
+    around = around or max(1, 100_000 // n)
+    first = [-(-k * count // n) for k in range(n)] + [count]  # the place of the first group of each part
+    part = F.floor(F.col("__place") * n / F.lit(count)).cast("int")
+    sums = dict(rows.groupBy(part.alias("part")).agg(F.sum("__size").alias("sum")).collect())
+    sums = [sums[k] for k in range(n)]
+    sizes: dict[int, int] = {}
+
+    def goes(k: int, place: int, of: int, to: int) -> bool:
+        """Move the group at a place from one part to its neighbour, if that brings them closer."""
+        own = sizes[place]
+        better = abs((sums[to] + own) - (sums[of] - own)) < abs(sums[to] - sums[of])
+        if better:
+            sums[of], sums[to] = sums[of] - own, sums[to] + own
+            first[k] += 1 if to < of else -1
+        return better
+
+    changed = True
+    while changed:
+        changed = False
+        for k in range(n):
+            for end in (True, False):
+                to = k + 1 if end else k - 1
+                if 0 <= to < n and first[k] < first[k + 1]:
+                    place = first[k + 1] - 1 if end else first[k]
+                    if place not in sizes:
+                        sizes = near_places(rows, first[1:-1], around)
+                    changed |= goes(k + end, place, k, to)
+    starts = F.array(*[F.lit(x) for x in first[1:-1]]) if n > 1 else F.array().cast("array<int>")
+    return rows.withColumn("part", F.size(F.filter(starts, lambda x: x <= F.col("__place")))).drop("__place", "__size")
+
+
+def near_places(rows: DataFrame, bounds: list[int], around: int) -> dict[int, int]:
+    """place -> size of the rows (__place, __size) up to `around` places from a bound."""
+    spans = rows.sparkSession.createDataFrame([(b,) for b in sorted(set(bounds))], "b bigint")
+    wanted = spans.select(F.explode(F.sequence(F.col("b") - around, F.col("b") + around - 1)).alias("__place")).distinct()
+    return dict(rows.join(F.broadcast(wanted), "__place").select("__place", "__size").collect())  # at most 2 around rows a bound
+
+
 def spread(rows: DataFrame, order: str, n: int) -> DataFrame:
     """n rows spread evenly over the order (W9): the first of each of n nearly equal blocks."""
     return in_blocks(rows, n, [F.col(order)], "__p").groupBy("__p").agg(F.min(order).alias(order)).drop("__p")
