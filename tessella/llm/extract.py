@@ -43,10 +43,10 @@ ENDS = {
 NAMES_APART = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead header topbar toolbar "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond discussion disqus replies "
-    "search searchform form widget widgets pagination pager skip copyright".split()
+    "search searchform form widget widgets pagination pager skip copyright dialog paywall".split()
 )
 NAMES_COMMENTS = frozenset("comment comments commentlist respond discussion disqus replies".split())
-NAMES_OWN = frozenset("with has no without content main body page wrapper container layout".split())
+NAMES_OWN = frozenset("with has no without".split())
 ARTICLE_NAMES = frozenset("article post entry story".split())
 #: Tags that mean something without attributes.
 SPECIAL = UNSEEN | APART | {"header", "main", "article"}

@@ -199,6 +199,7 @@ PAGES = [
     ("<body><div class='cookie-notice'><p>We use cookies to give you the best experience on this site, and to count you.</p></div><main><h2>{0}</h2><p>{1}</p><div class='ad'>Buy now, this is a very good thing for you and all of your friends.</div><p>{2}</p><blockquote>{3}</blockquote><p>{4}</p></main><section id=comments><h3>Comments</h3><article class=comment><p>I do not agree with any of this, and here is why, in many words of my own.</p></article></section>"),
     ("<body><form action=/s><input name=q><label>Search the whole of this site for words</label><button>Go</button></form><article><header><h1>{0}</h1></header><script>var t='</p><p>x</p>';</script><p>{1}</p><style>p{{}}</style><p>{2}<!-- <p>no</p> --></p><aside>Read also this other article about something else altogether.</aside><p>{3}</p><p>{4}</p></article>"),
     ("<table><tr><td><div class=menu><a href=1>One</a> <a href=2>Two</a></div></td></tr></table><div class=post><h1>{0}</h1><p>{1}</p><ul><li>{2}</li><li>{3}</li></ul><p>{4}</p></div><div class=related><a href=x>Another article that has a long name here</a></div>"),
+    ("<body class='has-sidebar no-header'><div id='main-nav'><a href=/>A rather long list of all the places on this site</a></div><div class='page-header'>The name of the site and what it is for</div><div id='mainContent'><h1>{0}</h1><p>{1}</p><p>{2}</p><div class='post-header'>{3}</div><p>{4}</p><div class='shareBar'>Share this with all of your friends and their friends</div></div><div class='page-footer'>All rights reserved by the owner of the site, whoever that is</div>"),
     ("<body><div class='ad'>An advert that nobody closes<article><h1>{0}</h1><p>{1}<br><p><b>{2}<br><p>{3}<p>{4}</article></body>"),
 ]
 
