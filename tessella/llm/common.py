@@ -84,6 +84,13 @@ def texts(batch, column: str):
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def slices(batches, rows: int = 1000):
+    """The Arrow batches in slices of so many rows, so that what is made of them stays small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with a column __row, an id of each row that stays the same: the rows are written to the shared folder and read again."""
     path = new_dir(df.sparkSession, "numbered")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, if_small, pinned, release
+from .common import TO_LOWER, if_small, pinned, release, slices
 
 #: 64-bit words of a parity bitmap, slots of the table of frequent shingles, and the documents that it is counted on.
 BITS = 16
@@ -87,7 +87,7 @@ def slot_counts(rows: DataFrame, text: str, width: int) -> np.ndarray:
     sample = rows.where(F.pmod(F.xxhash64("__row"), F.lit(share)) == 0).select(rows[f"`{text}`"].alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             every = [shingles(x, width) for x in batch.column("text").to_pylist()]
             at, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]) >> np.uint64(64 - SLOTS), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["slot", "n"])
@@ -103,7 +103,7 @@ def sets(rows: DataFrame, text: str, width: int, least: Fraction, votes: Callabl
     often = rows.sparkSession.sparkContext.broadcast(slot_counts(rows, text, width))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             every = [shingles(x, width) for x in batch.column("text").to_pylist()]
             sig = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in every], np.uint64).view(np.int64)
             heads = [prefix(h, often.value, least).view(np.int64) for h in every]
@@ -236,7 +236,7 @@ def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, text: str, w
 
     def run(batches):
         whole = None  # the set of the u whose pairs are read
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for u, v, x in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "text"))):
                 one = shingles(x, width)

@@ -38,7 +38,7 @@ END_ID = 0
 LEAST, USUAL, MOST, SPAN = 128, 512, 2048, 8
 WAVES = 4
 #: Texts are encoded together up to about so many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Documents under one Merkle root of the manifest's lowest level, and roots under one of the next.
 BLOCK = 4096
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
