@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, metrics, trials
+from ..operators import aggregates, blocks, metrics, trials
 from ..session import pinned, table
 from . import query
 
@@ -35,16 +35,12 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6))
 
 
-def cohort(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores of all trials, of speakers and of vectors against the cohort (every seventh vector)."""
+def cohort(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Scores of all trials, those of speakers against the cohort (every seventh vector), the vectors as tests, and those of the cohort."""
     vec = embedded(spark, sf_dir)
     all_scores = scores(spark, sf_dir)
     enroll = all_scores.where("test % 7 = 0").select("enroll", F.col("test").alias("cohort"), "score")
-    units = vec.select("vec_id", F.col("v").alias("vector"))
-    pairs = trials.generate(vec.where("vec_id % 7 = 0").select(F.col("vec_id").alias("enroll")), vec.select(F.col("vec_id").alias("test"), F.col("vec_id").alias("spk"))).select("enroll", "test")
-    against = trials.cosine_scores(pairs, units.withColumnRenamed("vec_id", "enroll"), units.withColumnRenamed("vec_id", "test"))
-    test = against.select("test", F.col("enroll").alias("cohort"), F.round("score", 6).alias("score"))
-    return all_scores, enroll, test
+    return all_scores, enroll, vec.select(F.col("vec_id").alias("test"), F.col("v").alias("vector")), vec.where("vec_id % 7 = 0").select(F.col("vec_id").alias("cohort"), F.col("v").alias("vector"))
 
 
 SQL_COHORT = SQL_SCORES + """,
@@ -182,7 +178,8 @@ FROM trial JOIN e USING (enroll) JOIN t USING (test)"""
 
 @query(SQL_COHORT + ", e AS (SELECT enroll, avg(score) AS me, stddev_samp(score) AS se FROM ec GROUP BY enroll), t AS (SELECT test, avg(score) AS mt, stddev_samp(score) AS st FROM tc GROUP BY test)" + SQL_NORMED)
 def score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trials.s_norm(*cohort(spark, sf_dir)).select("enroll", "test", "target", F.round("score", 5).alias("score"))
+    rows, enroll, tests, others = cohort(spark, sf_dir)
+    return trials.s_norm_by(rows, trials.cohort_stats(enroll, "enroll"), blocks.cohort_moments(tests, others), "left").select("enroll", "test", "target", F.round("score", 5).alias("score"))
 
 
 @query()
@@ -196,7 +193,9 @@ er AS (SELECT * FROM ec QUALIFY row_number() OVER (PARTITION BY enroll ORDER BY
 tr AS (SELECT * FROM tc QUALIFY row_number() OVER (PARTITION BY test ORDER BY score DESC, cohort) <= 20),
 e AS (SELECT enroll, avg(score) AS me, stddev_samp(score) AS se FROM er GROUP BY enroll), t AS (SELECT test, avg(score) AS mt, stddev_samp(score) AS st FROM tr GROUP BY test)""" + SQL_NORMED)
 def adaptive_score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trials.s_norm(*cohort(spark, sf_dir), top=20).select("enroll", "test", "target", F.round("score", 5).alias("score"))
+    rows, enroll, tests, others = cohort(spark, sf_dir)
+    best = blocks.cohort_best(tests, others, 20)
+    return trials.s_norm_by(rows, trials.cohort_stats(enroll, "enroll", 20), trials.cohort_stats(best, "test", 20), "left").select("enroll", "test", "target", F.round("score", 5).alias("score"))
 
 
 @query()
@@ -213,7 +212,7 @@ e AS (SELECT p.enroll, p.test, avg(c.score) AS me, stddev_samp(c.score) AS se FR
 SELECT enroll, test, target, round(0.5 * ((score - me) / se + (score - mt) / st), 5) AS score
 FROM trial JOIN e USING (enroll, test) JOIN t USING (enroll, test)""")
 def cross_score_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trials.s_norm_cross(*cohort(spark, sf_dir), top=20).select("enroll", "test", "target", F.round("score", 5).alias("score"))
+    return trials.s_norm_cross_vectors(*cohort(spark, sf_dir), top=20).select("enroll", "test", "target", F.round("score", 5).alias("score"))
 
 
 @query()
