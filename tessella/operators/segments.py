@@ -50,19 +50,20 @@ def fixed_chunks(rows: DataFrame, keep: list[str], length: str, size: float) ->
 
 
 def padded(rows: DataFrame, group: str, key: str, before: float, after: float) -> DataFrame:
-    """Pad both sides within the recording, then part what overlaps at the midpoint, in the order of the centres."""
+    """Pad both sides within the recording, then part what overlaps at the midpoint, in the order of the centres.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last = pdf["end"].max()
-        pdf = pdf.assign(mid=(pdf["start"] + pdf["end"]) / 2).sort_values(["mid", key]).drop(columns="mid")
-        starts, ends = (pdf["start"] - before).clip(lower=0).tolist(), (pdf["end"] + after).clip(upper=last).tolist()
-        for i in range(1, len(starts)):
-            if starts[i] < ends[i - 1]:
-                starts[i] = ends[i - 1] = (starts[i] + ends[i - 1]) / 2
-        return pdf.assign(start=starts, end=ends)
-
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return by_recording(rows, group, [key, "start", "end"], run, f"{group} {fields[group]}, {key} {fields[key]}, start double, end double")
+    A midpoint lies between the padded sides of two neighbours, whatever becomes of their other sides, so windows say it all.
+    """
+    whole = Window.partitionBy(group)
+    w = whole.orderBy(((F.col("start") + F.col("end")) / 2).asc_nulls_last(), F.col(key).asc_nulls_last())
+    first, last = F.col("start") - before, F.col("end") + after
+    rows = rows.select(group, key, "start", "end", F.max("end").over(whole).alias("__last"))
+    rows = rows.select(group, key, "start", "end", F.when(first < 0, 0.0).otherwise(first).alias("__s"), F.when(last > F.col("__last"), F.col("__last")).otherwise(last).alias("__e"))
+    rows = rows.select(group, key, "__s", "__e", F.lag("__e").over(w).alias("__before"), F.lead("__s").over(w).alias("__behind"))
+    middle = lambda x, y: (F.col(x) + F.col(y)) / 2
+    start = F.when(F.col("__s") < F.col("__before"), middle("__s", "__before")).otherwise(F.col("__s"))
+    end = F.when(F.col("__behind") < F.col("__e"), middle("__e", "__behind")).otherwise(F.col("__e"))
+    return rows.select(group, key, start.cast("double").alias("start"), end.cast("double").alias("end"))
 
 
 def merged_speech(runs: DataFrame, group: str, label: str, speech: object, shortest: float, pad: float, gap: float, longest: float) -> DataFrame:
@@ -309,35 +310,70 @@ def as_recordings(segments: DataFrame) -> DataFrame:
     return segments.select("utt", F.col("utt").alias("recording"), F.lit(0.0).alias("start"), (F.col("end") - F.col("start")).alias("end"), F.struct(F.col("recording").alias("of"), "start", "end").alias("piece"))
 
 
+#: Frames of recordings that leave a task together.
+FRAMES_AT_ONCE = 1 << 17
+
+
 def targets_on_recordings(recordings: DataFrame, segments: DataFrame, default: list[float], shift: float = 0.01, tolerance: int = 4) -> DataFrame:
     """recording, targets (rows of numbers): targets of segments put onto their recordings.
 
     recordings: recording, frames. segments: recording, utt, start, end, targets. Frames outside segments have the default row. Where
     a segment overlaps what came before, the new one fades in linearly. A segment inside what came before, outside the recording, or
-    whose targets are more than `tolerance` frames off its length, is left out. A recording is one group, bounded by its own length.
+    whose targets are more than `tolerance` frames off its length, is left out. The segments of a task stream past behind their recording, which is held alone.
     """
     fields = {f.name: f.dataType.simpleString() for f in recordings.schema.fields}
+    width, base = len(default), np.array(default, float)
+
+    def add(out: np.ndarray, done: int, start: float, end: float, new: np.ndarray) -> int:
+        """The end of what is done, once a segment has been added to the frames `out` of its recording."""
+        first, last = int(start / shift + 0.5), int(end / shift + 0.5)
+        if last <= first or abs(len(new) - (last - first)) > tolerance:
+            return done
+        n = min(min(last, len(out)) - first, len(new))
+        last = first + n
+        if n <= 0 or last < done:
+            return done
+        both = max(0, min(done, last) - first)
+        if both:
+            w = (np.arange(both) / (done - first))[:, None]
+            out[first : first + both] = out[first : first + both] * (1 - w) + new[:both] * w
+        out[first + both : last] = new[both:n]
+        return last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, outs, held = [], [], 0
+        of, out, done = (), None, 0
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        frames = int(pdf["frames"].iloc[0])
-        out = np.tile(np.array(default, float), (frames, 1))
-        done = 0
-        for start, end, rows in pdf.dropna(subset=["utt"]).sort_values(["start", "utt"])[["start", "end", "targets"]].itertuples(index=False):
-            new = np.array([list(x) for x in rows], float).reshape(len(rows), len(default))
-            first, last = int(start / shift + 0.5), int(end / shift + 0.5)
-            if last <= first or abs(len(new) - (last - first)) > tolerance:
-                continue
-            n = min(min(last, frames) - first, len(new))
-            last = first + n
-            if n <= 0 or last < done:
-                continue
-            both = max(0, min(done, last) - first)
-            if both:
-                w = (np.arange(both) / (done - first))[:, None]
-                out[first : first + both] = out[first : first + both] * (1 - w) + new[:both] * w
-            out[first + both : last] = new[both:n]
-            done = last
-        return pd.DataFrame({"recording": [key[0]], "targets": [out.tolist()]})
-
-    joined = recordings.select("recording", "frames").join(segments.select("recording", "utt", "start", "end", "targets"), "recording", "left")
-    return joined.groupBy("recording").applyInPandas(run, f"recording {fields['recording']}, targets array<array<double>>")
+        def finished() -> pa.RecordBatch:
+            upto = np.cumsum([0, *map(len, outs)])
+            frames = pa.ListArray.from_arrays(pa.array(np.arange(upto[-1] + 1) * width, pa.int32()), pa.array(np.concatenate(outs).ravel()))
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), frames)], names=["recording", "targets"])
+
+        for batch in batches:
+            sizes = batch.column("targets").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            rows = batch.column("targets").flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(upto[-1], width)
+            named = zip(*(batch.column(c).to_pylist() for c in ("recording", "frames", "utt", "start", "end")))
+            for i, (recording, frames, utt, start, end) in enumerate(named):
+                if frames is not None:
+                    if recording == of:  # a recording that is listed again
+                        continue
+                    if out is not None:
+                        outs.append(out)
+                        held += len(out)
+                    if held >= FRAMES_AT_ONCE:
+                        yield finished()
+                        ids, outs, held = [], [], 0
+                    ids.append(batch.column("recording").slice(i, 1))
+                    of, out, done = recording, np.tile(base, (frames, 1)), 0
+                elif recording is not None and recording == of and utt is not None:
+                    done = add(out, done, start, end, rows[upto[i] : upto[i + 1]])
+        if out is not None:
+            outs.append(out)
+            yield finished()
+
+    parts = segments.select("recording", F.lit(None).cast("int").alias("frames"), "utt", F.col("start").cast("double"), F.col("end").cast("double"), F.col("targets").cast("array<array<double>>"))
+    names = parts.schema
+    heads = recordings.select("recording", F.coalesce(F.col("frames").cast("int"), F.lit(0)).alias("frames"), *[F.lit(None).cast(names[c].dataType).alias(c) for c in ("utt", "start", "end", "targets")])
+    ordered = heads.unionByName(parts).repartition("recording").sortWithinPartitions("recording", F.col("frames").asc_nulls_last(), F.col("start").asc_nulls_last(), F.col("utt").asc_nulls_last())
+    return ordered.mapInArrow(run, f"recording {fields['recording']}, targets array<array<double>>")
