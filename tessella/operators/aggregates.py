@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,21 +139,26 @@ def cmvn(rows: DataFrame, group: str, order: str, value: str, window: int | None
 
 
 def pseudo_groups(rows: DataFrame, group: str, key: str, length: str, members: int, quota: float) -> DataFrame:
-    """Split each group into pseudo-groups of at most `members` rows and `quota` length (A27). Greedy, so by group in pandas."""
+    """Split each group into pseudo-groups of at most `members` rows and `quota` length (A27). Greedy, so the rows of a task stream past in order."""
     fields = rows.select(group, key, length)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, n, total, parts = 0, 0, 0.0, []
-        pdf = pdf.sort_values(key)
-        for x in pdf[length]:
-            if n and (n >= members or total + x > quota):
-                part, n, total = part + 1, 0, 0.0
-            n, total = n + 1, total + x
-            parts.append(part)
-        return pdf.assign(part=parts)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields.schema.fields) + ", part int"
-    return fields.groupBy(group).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row of no group has one of its own before the first.
+        last, part, n, total = (), 0, 0, 0.0
+        for batch in batches:
+            parts = []
+            for one, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                x = math.nan if x is None else x
+                if one != last:
+                    last, part, n, total = one, 0, 0, 0.0
+                elif n >= members or total + x > quota:
+                    part, n, total = part + 1, 0, 0.0
+                n, total = n + 1, total + x
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int32())], names=[*batch.schema.names, "part"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema.fields) + ", part int"
+    return fields.repartition(group).sortWithinPartitions(group, F.col(key).asc_nulls_last()).mapInArrow(run, schema)
 
 
 def error_rollup(rows: DataFrame, group: str, counts: list[str]) -> DataFrame:
