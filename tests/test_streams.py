@@ -51,3 +51,14 @@ def test_groups_stream(spark):
     got = {(r["g"], r["k"]): (r["start"], r["end"]) for r in padded.collect()}
     assert got == {("r", 1): (0.0, 2.25), ("r", 2): (2.25, 3.05), ("r", 3): (3.05, 9.0), ("s", 1): (0.0, 1.0)}
     assert not any("FlatMapGroups" in plan(df) for df in (near, parts, padded))
+
+
+def test_tokens_are_mapped_inside(spark, monkeypatch):
+    """A short mapping gives what the join gives, without a shuffle of tokens."""
+    rows = spark.createDataFrame([(1, ["a", "b", None, "c", "a"]), (2, []), (3, None), (3, ["d"])], "k int, w array<string>")
+    mapping = spark.createDataFrame([("a", ["y"]), ("a", ["x", "x"]), ("b", []), ("d", None), (None, ["n"])], "`from` string, to array<string>")
+    inside = text.map_tokens(rows, "w", mapping)
+    assert "Generate" not in plan(inside)
+    monkeypatch.setattr(text, "MAPPED_INSIDE", 0)
+    joined = sorted(text.map_tokens(rows, "w", mapping).collect(), key=str)
+    assert sorted(inside.collect(), key=str) == joined and joined[0]["w"] == ["x", "x", "y", None, "c", "x", "x", "y"]
