@@ -214,21 +214,26 @@ def combined_across(rows: DataFrame, group: str, key: str, length: str, least: f
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, label: the least node of its connected component.
 
-    Label propagation with pointer jumping: each round takes the least label among neighbours, and then the
-    label of that label; every round is written to the shared folder.
+    Contraction: each node goes to its least neighbour's least neighbour, if these are less, and links become links between what their
+    ends go to, so that each round has fewer of them; they are written to the shared folder. The least node of a component never moves.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    # Pinned once they are distinct, so that no round does it again.
-    both = pinned(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = pinned(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "node"))
-    while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
-        least = labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = least.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        new = pinned(least.join(jump, F.col("label") == F.col("at")).select("node", F.least("label", "next").alias("label"), "old"))
-        if not new.where("label <> old").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+    linked = lambda rows: pinned(rows.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    moved = lambda rows, moves, c: rows.join(moves.select(F.col("node").alias("__node"), F.col("to").alias("__to")), F.col(c) == F.col("__node"), "left").withColumn(c, F.coalesce("__to", c)).drop("__node", "__to")
+    left, steps = linked(both), []
+    while left.limit(1).count():
+        near = left.groupBy("u").agg(F.min("v").alias("to")).withColumnRenamed("u", "node")
+        steps.append(pinned(moved(near, near, "to")))
+        left = linked(moved(moved(left, steps[-1], "u"), steps[-1], "v"))
+    labels = both.select(F.col("u").alias("node")).unionByName(both.select(F.col("v").alias("node"))).where("node is not null").distinct().withColumn("label", F.col("node"))
+    if steps:
+        whole = steps.pop()
+        while steps:
+            # Nodes of later rounds are those that none of an earlier one left.
+            whole = moved(steps[-1], whole, "to").unionByName(whole.join(steps[-1].select("node"), "node", "left_anti"))
+            steps.pop()
+        labels = moved(labels, whole, "label")
+    return labels
 
 
 def nested(subs: DataFrame, parents: DataFrame, key: str) -> DataFrame:

@@ -74,7 +74,7 @@ def connected_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linked_orders(lines: DataFrame) -> DataFrame:
     """node, label: the smallest order that shared parts reach, for every order."""
-    lines = lines.select("l_orderkey", "l_partkey").distinct()
+    lines = lines.select("l_orderkey", "l_partkey")
     first = lines.groupBy("l_partkey").agg(F.min("l_orderkey").alias("first"))
     edges = lines.join(first, "l_partkey").select(F.col("l_orderkey").alias("u"), F.col("first").alias("v"))
     return s.components(edges, "u", "v")

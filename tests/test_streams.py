@@ -62,3 +62,22 @@ def test_tokens_are_mapped_inside(spark, monkeypatch):
     monkeypatch.setattr(text, "MAPPED_INSIDE", 0)
     joined = sorted(text.map_tokens(rows, "w", mapping).collect(), key=str)
     assert sorted(inside.collect(), key=str) == joined and joined[0]["w"] == ["x", "x", "y", None, "c", "x", "x", "y"]
+
+
+def test_components_contract(spark, monkeypatch):
+    """Chains, loops and hubs; what is kept of links gets less each round."""
+    kept = []
+    monkeypatch.setattr(segments, "pinned", lambda df, pinned=segments.pinned: (kept.append((sorted(df.columns), df.count())), pinned(df))[1])
+    r = random.Random(8)
+    ways = list(range(100, 180))
+    r.shuffle(ways)
+    edges = [*zip(ways, ways[1:]), *[(7, k) for k in range(200, 230)], (1, 1), (2, 3), (3, 2), (None, 5), (6, None), *[(r.randrange(300, 340), r.randrange(300, 340)) for _ in range(25)]]
+    label = {x: x for e in edges for x in e if x is not None}
+    for _ in label:
+        for a, b in edges:
+            if a is not None and b is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    got = segments.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert sorted((x["node"], x["label"]) for x in got) == sorted(label.items())
+    links = [n for columns, n in kept if columns == ["u", "v"]]
+    assert links == sorted(set(links), reverse=True) and links[-1] == 0
