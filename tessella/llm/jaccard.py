@@ -2,8 +2,9 @@
 
 A document is the set of its hashed shingles; equal sets are one node. All sets order their shingles alike, rare ones
 first. Two sets of similarity p / q or more then share a shingle among the first n - ceil(n p / q) + 1 of either, so
-the pairs that meet at such a shingle hold every link. Only shingles that hold nodes of different groups are looked at. Parity
-bitmaps (a shingle flips one bit) differ in no more bits than the sets do in shingles, and two sets that share few
+the pairs that meet at such a shingle hold every link. Only shingles that hold nodes of different groups are looked at. Each
+set is first compared with one of those it meets, so that sets that are all alike come together by as many pairs as they are; then pairs that are still
+apart are. Parity bitmaps (a shingle flips one bit) differ in no more bits than the sets do in shingles, and two sets that share few
 shingles of these prefixes cannot share enough behind them; both drop most other pairs without losing a link. What is
 left is compared whole, by joins.
 """
@@ -178,18 +179,37 @@ def near_pairs(n: np.ndarray, bits: np.ndarray, label: np.ndarray, group: np.nda
     yield from taken(1)
 
 
-def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
-    """u, v: pairs of nodes (sig, n, bits, prefix, label) with different labels that meet at enough shingles of their prefixes."""
+def shared_tokens(every: DataFrame, nodes: DataFrame) -> DataFrame:
+    """token, place, sig: the shingles of the prefixes of every (__row, sig, prefix) that two sets hold at least; nodes has one row (__row) of each sig.
+
+    Both shuffles are in proportion to the prefixes, whatever the size of the table; copies are left out first.
+    """
+    gone = pinned(every.select("__row").join(nodes.select("__row"), "__row", "left_anti"))
+    heads = every.select("__row", "sig", "prefix").join(if_small(gone, gone.count(), FEW), "__row", "left_anti")
+    often = pinned(heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"))
+    release(every.sparkSession)
+    return pinned(heads.select(F.posexplode("prefix").alias("place", "token"), "sig").join(often, "token", "left_semi").select("token", "place", "sig"))
+
+
+def labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """shared (token, place, sig) with the label of each sig; labels (node, label) has those of the sets that have links."""
+    return shared.join(if_small(labels, labels.count(), FEW), F.col("sig") == F.col("node"), "left").select("token", "place", "sig", F.coalesce("label", "sig").alias("label"))
+
+
+def mixed_tokens(rows: DataFrame) -> DataFrame:
+    """The tokens of rows (token, label) that sets of different labels hold."""
+    return rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+
+
+def met(shared: DataFrame, labels: DataFrame, nodes: DataFrame, emit: Callable, schema: str) -> DataFrame:
+    """What emit makes of the rows (token, sig, n, bits, label, place, before, held) of whole groups of a token that sets of different labels hold."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mixed = nodes.select(F.explode("prefix").alias("token"), "label").groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-    mixed = pinned(mixed)
-    release(nodes.sparkSession)
-    shared = pinned(nodes.select(F.posexplode("prefix").alias("place", "token"), "sig").join(if_small(mixed, mixed.count(), FEW), "token", "left_semi"))
-    del mixed
+    rows = labelled(shared, labels)
+    rows = pinned(rows.join(mixed_tokens(rows), "token", "left_semi").select("token", "place", "sig", "label"))
     release(nodes.sparkSession)
     of = Window.partitionBy("sig")
-    placed = shared.withColumns({"before": F.row_number().over(of.orderBy("place")) - 1, "held": F.count("*").over(of).cast("int")})
-    dealt = placed.join(nodes.select("sig", "n", "bits", "label"), "sig").select("token", "sig", "n", "bits", "label", "place", "before", "held").repartition(parts, "token").sortWithinPartitions("token", "label", "sig")
+    placed = rows.withColumns({"before": F.row_number().over(of.orderBy("place")) - 1, "held": F.count("*").over(of).cast("int")})
+    dealt = placed.join(nodes.select("sig", "n", "bits"), "sig").select("token", "sig", "n", "bits", "label", "place", "before", "held").repartition(parts, "token").sortWithinPartitions("token", "label", "sig")
 
     def run(batches):
         held = None
@@ -203,19 +223,64 @@ def candidates(nodes: DataFrame, least: Fraction) -> DataFrame:
         if held is not None:
             yield from emit(held)
 
+    return dealt.mapInArrow(run, schema)
+
+
+def pairs_of(table: pa.Table, least: Fraction) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """sig and n of the rows of some groups, and the places of their near pairs, some at a time."""
+    token, sig, label = (table.column(c).to_numpy() for c in ("token", "sig", "label"))
+    n, place, before, held = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "before", "held"))
+    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sig), BITS)
+    return sig, n, near_pairs(n, bits, label, token, place, before, held, least)
+
+
+def first_partners(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
+    """token, place, sig, u: the rows of shared that have a near pair in their group, and u, the smallest sig below theirs of such a pair (or null).
+
+    Rows that go have no near pair at that shingle and never will, as labels only grow together; linked sets of different labels stay at all
+    shingles that they share. A group gives no more rows than it has.
+    """
+
+    def emit(table):
+        if not len(table):
+            return
+        sig, _, pairs = pairs_of(table, least)
+        none = np.iinfo(np.int64).max
+        first, stays = np.full(len(sig), none), np.zeros(len(sig), bool)
+        for i, j in pairs:
+            stays[i] = stays[j] = True
+            np.minimum.at(first, np.where(sig[i] > sig[j], i, j), np.minimum(sig[i], sig[j]))
+        rows = table.select(["token", "place", "sig"]).filter(pa.array(stays)).combine_chunks()
+        if len(rows):
+            u = first[stays]
+            yield from rows.append_column("u", pa.array(u, mask=u == none)).to_batches()
+
+    return met(shared, labels, nodes, emit, "token bigint, place int, sig bigint, u bigint")
+
+
+def stars(partners: DataFrame) -> DataFrame:
+    """u, v: for each set v at most one of its first partners, that of most shingles.
+
+    In a group of sets that are all alike most have the same one, so as many pairs as sets bring it together; `candidates` gives the pairs that are still apart.
+    """
+    times = partners.where("u is not null").groupBy("u", F.col("sig").alias("v")).agg(F.count("*").alias("times"))
+    return times.groupBy("v").agg(F.max_by("u", F.struct("times", "u")).alias("u")).select("u", "v")
+
+
+def candidates(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
+    """u, v: pairs of nodes (sig, n, bits) with different labels that meet at enough shingles of their prefixes (shared: token, place, sig)."""
+
     def emit(table):
         if not len(table):
             return
-        token, sig, label = (table.column(c).to_numpy() for c in ("token", "sig", "label"))
-        n, place, before, held = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "before", "held"))
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sig), BITS)
-        for i, j in near_pairs(n, bits, label, token, place, before, held, least):
+        sig, n, found = pairs_of(table, least)
+        for i, j in found:
             need = least_shared(n[i], n[j], least)
             pairs, times = np.unique(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), need], axis=1), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([*map(pa.array, pairs.T), pa.array(times)], names=["u", "v", "need", "times"])
 
-    met = dealt.mapInArrow(run, "u bigint, v bigint, need bigint, times bigint")
-    return met.groupBy("u", "v", "need").agg(F.sum("times").alias("times")).where("times >= need").select("u", "v")
+    every = met(shared, labels, nodes, emit, "u bigint, v bigint, need bigint, times bigint")
+    return every.groupBy("u", "v", "need").agg(F.sum("times").alias("times")).where("times >= need").select("u", "v")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, text: str, width: int, least: Fraction) -> DataFrame:

@@ -24,6 +24,8 @@ from .graph import components, roots
 
 LEAF = 256
 SMALL = 32
+#: How often each document is compared with one likely partner before all pairs that are still apart are.
+ROUNDS = 2
 
 
 # Fingerprints
@@ -210,12 +212,18 @@ def clustered(docs: DataFrame, width: int = 4, r: int = 4, ident: str = "doc_id"
     return prints.join(by_print, "fp").select("ident", "fp", "component_id")
 
 
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Links (u, v) of the components that labels (node, label) has, and more of them."""
+    return labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)
+
+
 def first_documents(docs: DataFrame, width: int = 5, least: float = 0.8, r: int = 4, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id (nulls last), with its own columns.
 
     Two documents are linked if their sets of shingles have a Jaccard similarity of at least `least`; a group is what links join.
     Fingerprints within r bits give most links cheaply, and each is held against the whole sets. A fingerprint of 64
-    bits cannot promise a similarity, so the pairs that these groups leave apart are then sought by shared rare shingles, which misses none.
+    bits cannot promise a similarity, so the pairs that these groups leave apart are then sought by shared rare shingles, which misses none;
+    before that, each set is held against one of those, so that large groups are one by then.
     Texts without words are one group; rows are told apart by a row id of their own, so different texts without an id, or
     under one id, all stay; an empty table gives an empty table.
     """
@@ -231,16 +239,21 @@ def first_documents(docs: DataFrame, width: int = 5, least: float = 0.8, r: int
     near = pinned(jaccard.verified(pinned(near.unionByName(same)), rows, nodes, text, width, share))
     release(rows.sparkSession)
     del found, same, heads
-    labels = pinned(nodes.join(components(near), F.col("sig") == F.col("node"), "left").select("__row", F.coalesce("label", "sig").alias("label")))
-    release(rows.sparkSession)
-    labelled = pinned(every.select("__row", "sig", "n", "bits", "prefix").join(if_small(labels, labels.count(), jaccard.FEW), "__row"))
-    every = pinned(every.select("__row", "sig"))
+    shared = jaccard.shared_tokens(every, nodes)
+    every = pinned(every.select("__row", "sig", "n", "bits"))
     release(rows.sparkSession)
-    pairs = pinned(jaccard.candidates(labelled, share))
-    del labelled, labels
+    facts = every.dropDuplicates(["sig"]).select("sig", "n", "bits")
+    labels = pinned(components(near))
+    for _ in range(ROUNDS):
+        shared = pinned(jaccard.first_partners(shared, labels, facts, share))
+        release(rows.sparkSession)
+        more = jaccard.verified(pinned(jaccard.stars(shared)), rows, nodes, text, width, share)
+        labels = pinned(components(joined(labels, more)))
+        release(rows.sparkSession)
+    pairs = pinned(jaccard.candidates(shared, labels, facts, share))
+    del shared
     release(rows.sparkSession)
-    rest = jaccard.verified(pairs, rows, nodes, text, width, share)
-    labels = components(pinned(near.unionByName(rest)))
+    labels = components(joined(labels, jaccard.verified(pairs, rows, nodes, text, width, share)))
     release(rows.sparkSession)
     groups = every.join(labels, F.col("sig") == F.col("node"), "left").select("__row", F.coalesce("label", "sig").alias("group"))
     out = first_rows(rows, groups, ident)

@@ -690,3 +690,25 @@ def test_bounds_on_pairs_lose_no_link(monkeypatch):
     linked = {(a, b) for b in range(len(sets)) for a in range(b) if label[a] != label[b] and 5 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 4 * (n[a] + n[b] - both)}
     assert len(linked) > 50 and linked <= found.keys() and slices > 3
     assert len(found) < len(sets) * (len(sets) - 1) // 4
+
+
+def test_like_texts_come_together_by_few_pairs(spark, monkeypatch):
+    """Texts that are all alike are not compared all with all, and none is lost."""
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+    texts = []
+    for k in range(80):
+        words = list(base)
+        for at in rng.choice(200, 2, replace=False):
+            words[at] = f"own{k}x{at}"
+        texts.append((k, " ".join(words)))
+    seen, verified = [], jaccard.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = spark.createDataFrame([*texts, (100, "quite another text")], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in simhash.first_documents(docs).orderBy("doc_id").collect()] == [0, 100]
+    assert sum(seen) <= 4 * len(texts)
