@@ -189,7 +189,9 @@ def united(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def duplicate_windows(rows: DataFrame, width: int) -> DataFrame:
-    """ident and found (array of start, source, at): the windows of a document that one with a smaller ident holds; the first of those is the source, which has it at `at`.
+    """ident and factors (array of start, end, source, at) over the windows of a document that one with a smaller ident holds; the first of those is the source, which has it at `at`.
+
+    Windows become factors as soon as those of a document meet, so that no window is written to the shared folder.
 
     Up to MAX_FILTERED shared anchors, a bit filter of them goes to all executors and picks the windows while the
     texts are read. Beyond that a filter of bounded size would pass too much: then each document is joined with its own shared anchors.
@@ -205,12 +207,53 @@ def duplicate_windows(rows: DataFrame, width: int) -> DataFrame:
         picked = windows(rows.join(wanted, "ident"), width)
     firsts = pinned(picked.groupBy("hash").agg(*spans, F.min_by("start", "ident").alias("at")).where("first < last").select("hash", "first", "at"))
     release(spark)
-    found = F.struct("start", F.col("first").alias("source"), "at")
-    out = pinned(picked.join(firsts, "hash").where("first < ident").groupBy("ident").agg(F.collect_set(found).alias("found")))
+    found = picked.join(firsts, "hash").where("first < ident").select("ident", "start", F.col("first").alias("source"), "at")
+    out = pinned(factors(found, width))
     release(spark)
     return out
 
 
+def factors(found: DataFrame, width: int) -> DataFrame:
+    """ident and factors (start and end in words, source, at, in order of start) of the windows found (ident, start, source, at), a task's documents one after the other."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartition(parts, "ident").sortWithinPartitions("ident", "start", "source", "at")
+    kind = found.schema["ident"].dataType.simpleString()
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            code = table.column("ident").combine_chunks().dictionary_encode().indices.to_numpy()
+            # The last document may go on in the next batch.
+            cut = int(np.searchsorted(code, code[-1])) if len(code) else 0
+            yield from emit(table.slice(0, cut), code[:cut])
+            held = table.slice(cut)
+        if held is not None:
+            yield from emit(held, held.column("ident").combine_chunks().dictionary_encode().indices.to_numpy())
+
+    def emit(table, code):
+        if not len(table):
+            return
+        start, at = (table.column(c).to_numpy().astype(np.int64) for c in ("start", "at"))
+        source = table.column("source").combine_chunks()
+        origin = source.dictionary_encode().indices.to_numpy()
+        # The same window of rows that repeat an ident counts once.
+        once = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (start[1:] != start[:-1]) | (origin[1:] != origin[:-1]) | (at[1:] != at[:-1])]))
+        code, start, at, origin = code[once], start[once], at[once], origin[once]
+        edges = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
+        picks, ends = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            first, end = parsed(start[a:b], origin[a:b], at[a:b], width)
+            picks.append(first + a)
+            ends.append(end)
+        pick = np.concatenate(picks)
+        each = pa.StructArray.from_arrays([pa.array(start[pick]), pa.array(np.concatenate(ends)), source.take(pa.array(once[pick])), pa.array(at[pick])], names=["start", "end", "source", "at"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, picks)]), pa.int32()), each)
+        yield pa.RecordBatch.from_arrays([table.column("ident").combine_chunks().take(pa.array(once[edges[:-1]])), lists], names=["ident", "factors"])
+
+    return dealt.mapInArrow(run, f"ident {kind}, factors array<struct<start: bigint, end: bigint, source: {kind}, at: bigint>>")
+
+
 def deduped(docs: DataFrame, width: int = 13, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """ident, n_words, factors (start and end in words, source, at), removed (their spans, united), kept (the other words joined by a blank) of every document.
 
@@ -219,36 +262,23 @@ def deduped(docs: DataFrame, width: int = 13, ident: str = "doc_id", text: str =
     that repeat an ident do not count against each other. Windows are compared by 64-bit hashes.
     """
     rows = docs.select(docs[ident].alias("ident"), docs[text].alias("text"))
-    starts = duplicate_windows(rows.where("ident is not null"), width)
-    joined = rows.join(starts.withColumnRenamed("ident", "of"), F.col("ident") == F.col("of"), "left").select("ident", "text", "found")
+    found = duplicate_windows(rows.where("ident is not null"), width)
+    joined = rows.join(found.withColumnRenamed("ident", "of"), F.col("ident") == F.col("of"), "left").select("ident", "text", F.coalesce("factors", F.array().cast(found.schema["factors"].dataType)).alias("factors"))
     kind = rows.schema["ident"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch, docs in chunks(batches):
-            found = batch.column("found")
-            rows = found.flatten()
-            owner = np.repeat(np.arange(batch.num_rows), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            start, at = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "at"))
-            source = rows.field("source").dictionary_encode()
-            order = np.lexsort((start, owner))
-            owner, start, at = owner[order], start[order], at[order]
-            code = source.indices.to_numpy(zero_copy_only=False)[order]
-            edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            removed, kept, picks, ends, sizes = [], [], [], [], []
-            for k, words in enumerate(docs):
-                a, b = edges[k], edges[k + 1]
-                first, end = parsed(start[a:b], code[a:b], at[a:b], width)
-                spans = united(start[a:b][first].tolist(), end.tolist())
+            lists = batch.column("factors")
+            each = lists.flatten()
+            start, end = (each.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+            edges = np.cumsum([0, *lists.value_lengths().to_numpy(zero_copy_only=False)])
+            removed, kept = [], []
+            for words, a, b in zip(docs, edges[:-1].tolist(), edges[1:].tolist()):
+                spans = united(start[a:b].tolist(), end[a:b].tolist())
                 cuts = [0, *(x for s in spans for x in s), len(words)]
                 kept.append(b" ".join(w for i, j in zip(cuts[::2], cuts[1::2]) for w in words[i:j]).decode())
                 removed.append([{"start": i, "end": j} for i, j in spans])
-                picks.append(first + a)
-                ends.append(end)
-                sizes.append(len(first))
-            pick = np.concatenate([np.zeros(0, np.int64), *picks])
-            factors = pa.StructArray.from_arrays([pa.array(start[pick]), pa.array(np.concatenate([np.zeros(0, np.int64), *ends])), rows.field("source").take(pa.array(order[pick])), pa.array(at[pick])], names=["start", "end", "source", "at"])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), factors)
             yield pa.RecordBatch.from_arrays([batch.column("ident"), pa.array([len(x) for x in docs], pa.int64()), lists, pa.array(removed, span), pa.array(kept)], names=["ident", "n_words", "factors", "removed", "kept"])
 
     return joined.mapInArrow(run, f"ident {kind}, n_words bigint, factors array<struct<start: bigint, end: bigint, source: {kind}, at: bigint>>, removed array<struct<start: bigint, end: bigint>>, kept string")

@@ -712,3 +712,11 @@ def test_like_texts_come_together_by_few_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([*texts, (100, "quite another text")], "doc_id bigint, text string")
     assert [r["doc_id"] for r in simhash.first_documents(docs).orderBy("doc_id").collect()] == [0, 100]
     assert sum(seen) <= 4 * len(texts)
+
+
+def test_windows_are_kept_as_factors(spark):
+    """A passage that a document copies is kept as one factor, not as a row for each of its windows."""
+    text = " ".join(f"w{k}" for k in range(300))
+    rows = spark.createDataFrame([(1, text), (2, f"before {text} behind"), (3, "none of it")], "ident bigint, text string")
+    found = substring.duplicate_windows(rows, 13).collect()
+    assert [(r["ident"], [tuple(x) for x in r["factors"]]) for r in found] == [(2, [(1, 301, 1, 0)])]
