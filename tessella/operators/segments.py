@@ -355,9 +355,9 @@ def targets_on_recordings(recordings: DataFrame, segments: DataFrame, default: l
             return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), frames)], names=["recording", "targets"])
 
         for batch in batches:
-            sizes = batch.column("targets").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            sizes = batch.column("size").fill_null(0).to_numpy(zero_copy_only=False)
             upto = np.concatenate([[0], np.cumsum(sizes)])
-            rows = batch.column("targets").flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(upto[-1], width)
+            rows = batch.column("targets").flatten().to_numpy(zero_copy_only=False).reshape(upto[-1], width)
             named = zip(*(batch.column(c).to_pylist() for c in ("recording", "frames", "utt", "start", "end")))
             for i, (recording, frames, utt, start, end) in enumerate(named):
                 if frames is not None:
@@ -377,8 +377,10 @@ def targets_on_recordings(recordings: DataFrame, segments: DataFrame, default: l
             outs.append(out)
             yield finished()
 
-    parts = segments.select("recording", F.lit(None).cast("int").alias("frames"), "utt", F.col("start").cast("double"), F.col("end").cast("double"), F.col("targets").cast("array<array<double>>"))
+    # Targets are shuffled as one list of numbers a segment, which takes less than a third of the bytes of a list of lists.
+    numbers = F.col("targets").cast("array<array<double>>")
+    parts = segments.select("recording", F.lit(None).cast("int").alias("frames"), "utt", F.col("start").cast("double"), F.col("end").cast("double"), F.nullif(F.size(numbers), F.lit(-1)).alias("size"), F.flatten(numbers).alias("targets"))
     names = parts.schema
-    heads = recordings.select("recording", F.coalesce(F.col("frames").cast("int"), F.lit(0)).alias("frames"), *[F.lit(None).cast(names[c].dataType).alias(c) for c in ("utt", "start", "end", "targets")])
+    heads = recordings.select("recording", F.coalesce(F.col("frames").cast("int"), F.lit(0)).alias("frames"), *[F.lit(None).cast(names[c].dataType).alias(c) for c in ("utt", "start", "end", "size", "targets")])
     ordered = heads.unionByName(parts).repartition("recording").sortWithinPartitions("recording", F.col("frames").asc_nulls_last(), F.col("start").asc_nulls_last(), F.col("utt").asc_nulls_last())
     return ordered.mapInArrow(run, f"recording {fields['recording']}, targets array<array<double>>")

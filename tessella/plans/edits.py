@@ -139,7 +139,7 @@ def whole_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def targets_on_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of two numbers of every fourth of a document's hundred characters, overlapping by some."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording"), F.least(F.col("n_chars"), F.lit(20_000)).cast("int").alias("chars"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording"), F.col("n_chars").cast("int").alias("chars"))
     recordings = docs.select("recording", F.col("chars").alias("frames"))
     parts = docs.where("chars > 0").select("recording", F.explode(F.expr("sequence(0, chars - 1, 400)")).alias("at"))
     rows = parts.select("recording", F.concat_ws("-", "recording", "at").alias("utt"), (F.col("at") / 100).alias("start"), (F.col("at") / 100 + 4.2).alias("end"), F.array_repeat(F.array((F.col("at") % 1000 / 1000), F.lit(0.5)), 420).alias("targets"))
