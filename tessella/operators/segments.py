@@ -377,7 +377,7 @@ def targets_on_recordings(recordings: DataFrame, segments: DataFrame, default: l
             outs.append(out)
             yield finished()
 
-    # Targets are shuffled as one list of numbers a segment, which takes less than a third of the bytes of a list of lists.
+    # Targets are shuffled as one list of numbers a segment, which takes fewer bytes than a list of lists.
     numbers = F.col("targets").cast("array<array<double>>")
     parts = segments.select("recording", F.lit(None).cast("int").alias("frames"), "utt", F.col("start").cast("double"), F.col("end").cast("double"), F.nullif(F.size(numbers), F.lit(-1)).alias("size"), F.flatten(numbers).alias("targets"))
     names = parts.schema
